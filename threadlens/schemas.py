@@ -3,55 +3,93 @@
 from pyspark.sql import types as T
 
 
-def _schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+LONG, INT, TEXT = T.LongType(), T.IntegerType(), T.StringType()
+FLAG, TIME = T.BooleanType(), T.TimestampType()
+
+
+def _schema(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
 
 
 TICKETS = _schema(
-    "ticket_id BIGINT, requester_id BIGINT, assignee_id BIGINT, created_at TIMESTAMP, "
-    "status STRING, ticket_form_id BIGINT, theme STRING"
+    ticket_id=LONG,
+    requester_id=LONG,
+    assignee_id=LONG,
+    created_at=TIME,
+    status=TEXT,
+    ticket_form_id=LONG,
+    theme=TEXT,
 )
 
 COMMENTS = _schema(
-    "ticket_id BIGINT, pos BIGINT, author_id BIGINT, public BOOLEAN, "
-    "plain_body STRING, created_at TIMESTAMP"
+    ticket_id=LONG,
+    pos=LONG,
+    author_id=LONG,
+    public=FLAG,
+    plain_body=TEXT,
+    created_at=TIME,
 )
 
 # Landed threads: one JSON object per ticket, comments in thread order.
 THREADS = _schema(
-    "ticket_id BIGINT, comments ARRAY<STRUCT<author_id: BIGINT, public: BOOLEAN, "
-    "plain_body: STRING, created_at: TIMESTAMP>>"
+    ticket_id=LONG,
+    comments=T.ArrayType(_schema(author_id=LONG, public=FLAG, plain_body=TEXT, created_at=TIME)),
 )
 
-ACTIVITY = _schema("conversation_id STRING, ts TIMESTAMP")
-ARTICLE_VIEWS = _schema("event_id STRING, ts TIMESTAMP")
+ACTIVITY = _schema(conversation_id=TEXT, ts=TIME)
+ARTICLE_VIEWS = _schema(event_id=TEXT, ts=TIME)
 
-LEXICON = _schema("word STRING, score INT")
-THEME_TERMS = _schema("term STRING, theme STRING")
-GAZETTEER = _schema("term STRING, label STRING")
-KNOWLEDGE = _schema("doc_id BIGINT, text STRING")
+LEXICON = _schema(word=TEXT, score=INT)
+THEME_TERMS = _schema(term=TEXT, theme=TEXT)
+GAZETTEER = _schema(term=TEXT, label=TEXT)
+KNOWLEDGE = _schema(doc_id=LONG, text=TEXT)
 
 # Result of one analysed ticket.
 ANALYSIS = _schema(
-    "ticket_id BIGINT, assignee_id STRING, created_at STRING, summary STRING, "
-    "self_service_analysis STRING, bot_answer STRING, bot_correct STRING, "
-    "bot_correct_reason STRING, theme STRING, recommendation STRING, "
-    "sentiment STRING, sentiment_explanation STRING, customer_issue STRING"
+    ticket_id=LONG,
+    assignee_id=TEXT,
+    created_at=TEXT,
+    summary=TEXT,
+    self_service_analysis=TEXT,
+    bot_answer=TEXT,
+    bot_correct=TEXT,
+    bot_correct_reason=TEXT,
+    theme=TEXT,
+    recommendation=TEXT,
+    sentiment=TEXT,
+    sentiment_explanation=TEXT,
+    customer_issue=TEXT,
 )
 
 ERRORS = _schema(
-    "ticket_id BIGINT, stage STRING, error_class STRING, message STRING, ts TIMESTAMP"
+    ticket_id=LONG,
+    stage=TEXT,
+    error_class=TEXT,
+    message=TEXT,
+    ts=TIME,
 )
 
 # Model replies.
 ANALYSIS_REPLY = _schema(
-    "summary STRING, self_service_possible STRING, self_service_reason STRING, "
-    "self_service_recommendation STRING, error STRING, _corrupt_record STRING"
+    summary=TEXT,
+    self_service_possible=TEXT,
+    self_service_reason=TEXT,
+    self_service_recommendation=TEXT,
+    error=TEXT,
+    _corrupt_record=TEXT,
 )
 COMPARISON_REPLY = _schema(
-    "bot_correct STRING, bot_correct_reason STRING, error STRING, _corrupt_record STRING"
+    bot_correct=TEXT,
+    bot_correct_reason=TEXT,
+    error=TEXT,
+    _corrupt_record=TEXT,
+)
+RESPONSES = _schema(
+    prompt_hash=TEXT,
+    response=TEXT,
+    status=TEXT,
+    error=TEXT,
 )
-RESPONSES = _schema("prompt_hash STRING, response STRING, status STRING, error STRING")
 
 
 def csv_headings(bot: str = "Chatbot", bot_site: str | None = None) -> dict[str, str]:

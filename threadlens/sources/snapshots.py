@@ -10,8 +10,16 @@ from threadlens.functions.labels import nullify_na
 from threadlens.schemas import ANALYSIS, csv_headings
 
 STAMP = "snapshot_ts"
-# Quotes are doubled and line breaks kept inside quotes, so any text survives.
-_CSV = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
+# Quotes are doubled, line breaks kept inside quotes and blanks left alone, so any
+# text survives. An empty text is written as "" and null as nothing.
+_CSV = {
+    "header": True,
+    "multiLine": True,
+    "quote": '"',
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
 
 
 def write_snapshot(analysed: DataFrame, path: str, stamp: str) -> None:
@@ -46,7 +54,7 @@ def write_csv(analysed: DataFrame, path: str, headings: dict[str, str] | None =
     split on reading, so files are cut by row count when written."""
     names = headings or csv_headings()
     out = analysed.select(*[F.col(c).alias(names[c]) for c in ANALYSIS.fieldNames()])
-    out.write.options(**_CSV).option("emptyValue", "").option("maxRecordsPerFile", 500_000).csv(path)
+    out.write.options(**_CSV).option("maxRecordsPerFile", 500_000).csv(path)
 
 
 def read_csv(
@@ -59,7 +67,9 @@ def read_csv(
     breakdown expects."""
     names = headings or csv_headings()
     schema = T.StructType([T.StructField(names[f.name], f.dataType) for f in ANALYSIS.fields])
-    table = spark.read.schema(schema).options(**_CSV).option("enforceSchema", False).csv(path)
+    # A null token no text can equal keeps "" (empty) apart from nothing (null).
+    options = {**_CSV, "enforceSchema": False, "nullValue": "\x00"}
+    table = spark.read.schema(schema).options(**options).csv(path)
     table = table.toDF(*ANALYSIS.fieldNames())
     if not missing_to_null:
         return table
