@@ -92,12 +92,12 @@ def gazetteer(spark):
     return S.words(spark, S.GAZETTEER, "term STRING, label STRING")
 
 
-_SENTIMENT = f"""felt AS (
+_SENTIMENT = f"""felt AS MATERIALIZED (
   SELECT t.ticket_id, t.customer_issue, CAST(coalesce(sum(l.score), 0) AS BIGINT) AS sentiment_score, count(l.score) AS hits
   FROM threads t LEFT JOIN (SELECT ticket_id, unnest({tokens('customer_issue')}) AS word FROM threads) w ON w.ticket_id = t.ticket_id
     LEFT JOIN {values(S.LEXICON, 'word, score')} l ON l.word = w.word
   GROUP BY ALL),
-moods AS (
+moods AS MATERIALIZED (
   SELECT ticket_id, sentiment_score,
     CASE WHEN coalesce(customer_issue, '') = '' THEN 'N/A' WHEN sentiment_score >= 3 THEN 'Delighted'
          WHEN sentiment_score >= 1 THEN 'Positive' WHEN sentiment_score = 0 THEN 'Neutral'
@@ -126,13 +126,13 @@ def _term_theme(source: str, key: str, text: str) -> str:
     LEFT JOIN {_term_theme('documents', 'doc_id', 'text')} b ON b.k = d.doc_id""",
 )
 def b2(spark, d):
-    rows = S.table(spark, d, "documents").selectExpr("doc_id AS ticket_id", "text AS summary")
+    rows = S.knowledge(spark, d).selectExpr("doc_id AS ticket_id", "text AS summary")
     return themes.term_themes(rows, theme_terms(spark)).select("ticket_id", "theme")
 
 
 @query("b2_theme_discovery")
 def b2_discovery(spark, d):
-    rows = S.table(spark, d, "documents").selectExpr("doc_id AS ticket_id", "text AS summary")
+    rows = S.knowledge(spark, d).selectExpr("doc_id AS ticket_id", "text AS summary")
     return themes.discover_themes(rows, k=8)
 
 
@@ -159,15 +159,17 @@ def b3(spark, d):
     )
 
 
-_INDEX = f"""words AS (SELECT doc_id, len({tokens('text')}) AS dl, unnest({tokens('text')}) AS term FROM documents),
-tfs AS (SELECT doc_id, dl, term, count(*) AS tf FROM words GROUP BY ALL),
-corpus AS (SELECT count(*) AS n, sum(len({tokens('text')})) / count(*) AS avgdl FROM documents),
-dfs AS (SELECT term, count(*) AS df FROM tfs GROUP BY 1),
-idfs AS (SELECT term, df, ln(1.0 + (n - df + 0.5) / (df + 0.5)) AS idf FROM dfs, corpus),
-weights AS (
+_INDEX = f"""toks AS MATERIALIZED (SELECT doc_id, {tokens('text')} AS w FROM documents),
+tfs AS MATERIALIZED (
+  SELECT doc_id, dl, term, count(*) AS tf
+  FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM toks) GROUP BY ALL),
+corpus AS MATERIALIZED (SELECT count(*) AS n, sum(len(w)) / count(*) AS avgdl FROM toks),
+dfs AS MATERIALIZED (SELECT term, count(*) AS df FROM tfs GROUP BY 1),
+idfs AS MATERIALIZED (SELECT term, ln(1.0 + (n - df + 0.5) / (df + 0.5)) AS idf FROM dfs, corpus),
+weights AS MATERIALIZED (
   SELECT doc_id, tfs.term, idf * tf * 2.2 / (tf + 1.2 * (1.0 - 0.75 + 0.75 * dl / avgdl)) AS w
   FROM tfs JOIN idfs ON idfs.term = tfs.term, corpus)"""
-_BEST = f"""best AS (
+_BEST = f"""best AS MATERIALIZED (
   SELECT ticket_id, doc_id, score FROM (
     SELECT q.ticket_id, w.doc_id, round(sum(w.w), 6) AS score
     FROM (SELECT ticket_id, unnest(list_distinct({tokens('customer_issue')})) AS term FROM threads) q
@@ -185,31 +187,32 @@ _BEST = f"""best AS (
     FROM threads t LEFT JOIN best b ON b.ticket_id = t.ticket_id LEFT JOIN documents d ON d.doc_id = b.doc_id""",
 )
 def b4(spark, d):
-    rows = threads_of(spark, d)
-    answered = retrieval.answer_from_articles(rows, S.knowledge(spark, d))
+    knowledge = S.knowledge(spark, d)
+    rows = shared.materialise(threads_of(spark, d), "threads")
+    answered = retrieval.answer_from_articles(rows, knowledge, retrieval.build_index(knowledge))
     return answered.select("ticket_id", "bot_doc_id", "bot_score", "bot_answer", "bot_status")
 
 
-_SENTENCES = f"""sentences AS (
+_SENTENCES = f"""sentences AS MATERIALIZED (
   SELECT ticket_id, pos, i AS sentence_no, s[i] AS sentence
   FROM (SELECT ticket_id, pos, regexp_split_to_array({redact("coalesce(plain_body, '')")}, '[.!?]+\\s+') AS s FROM comments),
        unnest(range(1, len(s) + 1)) u(i)),
-rarities AS (
+rarities AS MATERIALIZED (
   SELECT ticket_id, pos, sentence_no, round(avg(coalesce(idf, ln(1.0 + (n + 0.5) / 0.5))), 6) AS rarity
   FROM (SELECT ticket_id, pos, sentence_no, unnest({tokens('sentence')}) AS term FROM sentences) w
        LEFT JOIN idfs ON idfs.term = w.term, corpus
   GROUP BY 1, 2, 3),
-tops AS (
+tops AS MATERIALIZED (
   SELECT r.ticket_id, {strip('s.sentence')} AS summary FROM rarities r JOIN sentences s USING (ticket_id, pos, sentence_no)
   QUALIFY row_number() OVER (PARTITION BY r.ticket_id ORDER BY rarity DESC, pos, sentence_no) = 1)"""
 
 
 @query("b5_top_sentence", f"WITH {COMMENTS}, {_INDEX}, {_SENTENCES} SELECT ticket_id, summary FROM tops")
 def b5(spark, d):
-    return summary.top_sentences(S.comments(spark, d), S.knowledge(spark, d))
+    return summary.top_sentences(S.comments(spark, d), retrieval.build_index(S.knowledge(spark, d)))
 
 
-_VERDICT = """verdicts AS (
+_VERDICT = """verdicts AS MATERIALIZED (
   SELECT t.ticket_id, b.doc_id, CASE WHEN coalesce(b.score >= 5.0, FALSE) THEN 'Yes' ELSE 'No' END AS possible,
     CASE WHEN coalesce(b.score >= 5.0, FALSE) THEN 'Covered by article ' || b.doc_id
          WHEN b.doc_id IS NULL THEN 'No matching article'
@@ -219,8 +222,8 @@ _VERDICT = """verdicts AS (
 
 @query("b5_verdict", f"WITH {THREADS}, {_INDEX}, {_BEST}, {_VERDICT} SELECT ticket_id, possible, reason FROM verdicts")
 def b5_verdict(spark, d):
-    rows = threads_of(spark, d)
-    best = retrieval.best_articles(rows, S.knowledge(spark, d))
+    rows = shared.materialise(threads_of(spark, d), "threads")
+    best = retrieval.best_articles(rows, retrieval.build_index(S.knowledge(spark, d)))
     possible, reason = summary.verdict(F.col("score"), F.col("doc_id"))
     return rows.join(best, "ticket_id", "left").select(
         "ticket_id", possible.alias("possible"), reason.alias("reason")
@@ -265,13 +268,13 @@ def masked(x: str) -> str:
 
 @query("b7_entity_redaction", f"SELECT doc_id, {masked('text')} AS text FROM documents")
 def b7(spark, d):
-    rows = S.table(spark, d, "documents").select("doc_id", "text")
+    rows = S.knowledge(spark, d)
     return entities.redact_entities(rows, gazetteer(spark), "text", "doc_id")
 
 
 @query("b7_entity_redaction_by_join", f"SELECT doc_id, {masked('text')} AS text FROM documents")
 def b7_join(spark, d):
-    rows = S.table(spark, d, "documents").select("doc_id", "text")
+    rows = S.knowledge(spark, d)
     return entities.redact_entities(rows, gazetteer(spark), "text", "doc_id", inline_terms=0)
 
 
@@ -279,15 +282,15 @@ def b7_join(spark, d):
 
 _NAMED = f"""named AS (
   SELECT * REPLACE ({masked('customer_issue')} AS customer_issue, {masked('agent_resolution')} AS agent_resolution) FROM threads)"""
-_THREADS_ON_NAMED = THREADS.replace("threads AS (", "plain AS (")
+_THREADS_ON_NAMED = THREADS.replace("threads AS MATERIALIZED (", "plain AS MATERIALIZED (")
 _RUN = f"""WITH {_THREADS_ON_NAMED}, {_NAMED.replace('FROM threads', 'FROM plain').replace('named AS', 'threads AS')},
   {_INDEX}, {_BEST}, {_SENTENCES}, {_VERDICT}, {_SENTIMENT},
-answered AS (
+answered AS MATERIALIZED (
   SELECT t.*, b.doc_id, d.text IS NOT NULL AS found,
     CASE WHEN coalesce(customer_issue, '') = '' THEN 'N/A - No customer comment found.'
          ELSE {redact("coalesce(d.text, 'N/A - No matching article.')")} END AS bot_answer
   FROM threads t LEFT JOIN best b ON b.ticket_id = t.ticket_id LEFT JOIN documents d ON d.doc_id = b.doc_id),
-compared AS (
+compared AS MATERIALIZED (
   SELECT *, CASE WHEN found AND agent_resolution <> '' THEN CAST({_jaccard('bot_answer', 'agent_resolution')} AS DOUBLE) END AS score
   FROM answered),
 rows_ AS (
@@ -297,7 +300,7 @@ rows_ AS (
          WHEN coalesce(agent_resolution, '') = '' THEN 'N/A - No agent resolution found.' ELSE 'N/A' END AS bot_correct_reason
   FROM compared c JOIN verdicts v ON v.ticket_id = c.ticket_id JOIN moods m ON m.ticket_id = c.ticket_id
     LEFT JOIN tops s ON s.ticket_id = c.ticket_id),
-done AS (
+done AS MATERIALIZED (
   SELECT ticket_id, CAST(assignee_id AS VARCHAR) AS assignee_id,
     strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') AS created_at,
     CASE WHEN comment_count = 0 THEN 'Ticket has no content.' ELSE top END AS summary,

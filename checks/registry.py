@@ -115,10 +115,10 @@ finals AS (
   QUALIFY row_number() OVER (PARTITION BY t.ticket_id ORDER BY b.pos DESC) = 1)"""
 
 THREADS = f"""{TICKETS}, {COMMENTS}, {PICKS},
-scripts AS (
+scripts AS MATERIALIZED (
   SELECT ticket_id, count(*) AS comment_count, string_agg({line()}, chr(10) ORDER BY pos) AS transcript
   FROM comments GROUP BY ticket_id),
-threads AS (
+threads AS MATERIALIZED (
   SELECT t.*, {redact('i.body')} AS customer_issue, {redact('f.body')} AS agent_resolution,
          coalesce(s.comment_count, 0) AS comment_count, s.transcript
   FROM tickets t LEFT JOIN issues i USING (ticket_id) LEFT JOIN finals f USING (ticket_id)

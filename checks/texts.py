@@ -22,7 +22,7 @@ from threadlens.operators.baselines.entities import mask_spans
 
 
 def docs(spark, d):
-    return S.table(spark, d, "documents")
+    return S.texts(spark, d, "documents")
 
 
 def _per_doc(expression: str, name: str) -> str:

@@ -6,31 +6,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadlens.functions.text import redact, sentences, strip, tokens
-from threadlens.operators.baselines.retrieval import corpus_size, idf, term_documents
+from threadlens.operators.baselines.retrieval import KnowledgeIndex
 from threadlens.operators.joins import lookup
 
 THRESHOLD = 5.0
 
 
-def top_sentences(comments: DataFrame, knowledge: DataFrame) -> DataFrame:
+def top_sentences(comments: DataFrame, index: KnowledgeIndex) -> DataFrame:
     """(ticket_id, summary): the redacted sentence with the rarest words on average.
 
     Rarity is the idf of the knowledge base, unknown words being rarest. The mean
     is rounded to six decimals; ties go to the earliest sentence. Only numbers are
     grouped: the chosen sentence is cut out of its comment at the end.
     """
-    documents, _, _ = corpus_size(knowledge)
-    weights = term_documents(knowledge).select("term", idf(F.col("df"), documents).alias("idf"))
-    unknown = idf(F.lit(0), documents)
     body = sentences(redact(F.col("plain_body")))
     place = ["ticket_id", "pos", "sentence_no"]
     words = comments.select(
         "ticket_id", "pos", F.posexplode(body).alias("sentence_no", "sentence")
     ).select(*place, F.explode(tokens(F.col("sentence"))).alias("term"))
     best = (
-        lookup(words, weights, "term", spread=place, how="left")
+        lookup(words, index.vocabulary, "term", spread=place, how="left")
         .groupBy(*place)
-        .agg(F.round(F.avg(F.coalesce("idf", unknown)), 6).alias("rarity"))
+        .agg(F.round(F.avg(F.coalesce("idf", index.unknown_idf)), 6).alias("rarity"))
         .groupBy("ticket_id")
         .agg(F.min(F.struct((-F.col("rarity")).alias("r"), "pos", "sentence_no")).alias("b"))
         .select("ticket_id", "b.pos", "b.sentence_no")

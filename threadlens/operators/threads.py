@@ -4,6 +4,9 @@ No step gathers an unbounded thread in one place. Opening and final comments are
 min_by/max_by aggregates, which shrink inside each task before the shuffle. A
 transcript is text for one reader and is therefore bounded by a comment count;
 longer threads keep all of their text in numbered parts.
+
+Threads that land as one array per ticket need none of this: ``assemble_arrays``
+works inside the row, and the only shuffle left is the join to the tickets.
 """
 
 from __future__ import annotations
@@ -156,3 +159,41 @@ def assemble_threads(
         .withColumn("agent_resolution", redact(F.col("agent_resolution")))
         .withColumn("comment_count", F.coalesce("comment_count", F.lit(0)))
     )
+
+
+def assemble_arrays(
+    tickets: DataFrame, threads: DataFrame, max_comments: int = MAX_COMMENTS
+) -> DataFrame:
+    """``assemble_threads`` for landed threads (ticket_id, comments array), same columns.
+
+    Everything is computed from the array in its own order, row by row.
+    """
+    shown = F.filter(
+        "comments",
+        lambda c: F.coalesce(c["public"], F.lit(True)) & ~is_blank(c["plain_body"]),
+    )
+
+    def by(author: Column) -> Column:
+        wanted = F.when(author != 0, author)
+        return F.filter("_shown", lambda c: c["author_id"] == wanted)
+
+    def body(found: Column, place: int) -> Column:
+        return redact(strip(F.try_element_at(found, F.lit(place))["plain_body"]))
+
+    lines = F.transform(
+        "comments",
+        lambda c: comment_line(c["author_id"], c["created_at"], redact(c["plain_body"])),
+    )
+    count = F.coalesce(F.size("comments"), F.lit(0)).cast("bigint")
+    return (
+        tickets.join(threads, "ticket_id", "left")
+        .withColumn("_shown", shown)
+        .withColumn("customer_issue", body(by(F.col("requester_id")), 1))
+        .withColumn("agent_resolution", body(by(F.col("assignee_id")), -1))
+        .withColumn("comment_count", F.when(count > 0, count).otherwise(F.lit(0)))
+        .withColumn(
+            "transcript",
+            F.when(F.col("comment_count").between(1, max_comments), F.array_join(lines, "\n")),
+        )
+        .drop("comments", "_shown")
+    )

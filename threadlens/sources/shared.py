@@ -38,3 +38,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """Give a table just read at least one partition per core.
+
+    A small file can hold all of its rows in one row group and so in one task; text
+    work on it would then use one core. A table with enough splits is returned as
+    it is, so nothing is shuffled where data is large.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores, key)

@@ -12,6 +12,8 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadlens.sources.shared import spread
+
 AS_OF = dt.datetime(2001, 7, 31, 15, 30)
 FINISHED = ("F", "O")
 FORM = "1-URGENT"
@@ -28,10 +30,18 @@ THEME_TERMS = [
 GAZETTEER = [("of the", "ORG"), ("que", "PERSON"), ("und die", "ORG"), ("inly", "PERSON"), ("la", "ORG")]
 
 
+# Tables with long texts, whose small files are spread over the cores.
+TEXT_KEYS = {"documents": "doc_id", "conversations": "conv_id", "pages": "page_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spread(table(spark, sf_dir, name), TEXT_KEYS[name])
+
+
 def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One ticket per order. The form is the priority text, the states are F, O and P."""
     key = F.col("o_orderkey")
@@ -63,7 +73,7 @@ def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def knowledge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return texts(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
