@@ -193,9 +193,10 @@ def b4(spark, d):
     return answered.select("ticket_id", "bot_doc_id", "bot_score", "bot_answer", "bot_status")
 
 
-_SENTENCES = f"""sentences AS MATERIALIZED (
+def _sentences(body: str) -> str:
+    return f"""sentences AS MATERIALIZED (
   SELECT ticket_id, pos, i AS sentence_no, s[i] AS sentence
-  FROM (SELECT ticket_id, pos, regexp_split_to_array({redact("coalesce(plain_body, '')")}, '[.!?]+\\s+') AS s FROM comments),
+  FROM (SELECT ticket_id, pos, regexp_split_to_array({body}, '[.!?]+\\s+') AS s FROM comments),
        unnest(range(1, len(s) + 1)) u(i)),
 rarities AS MATERIALIZED (
   SELECT ticket_id, pos, sentence_no, round(avg(coalesce(idf, ln(1.0 + (n + 0.5) / 0.5))), 6) AS rarity
@@ -207,9 +208,13 @@ tops AS MATERIALIZED (
   QUALIFY row_number() OVER (PARTITION BY r.ticket_id ORDER BY rarity DESC, pos, sentence_no) = 1)"""
 
 
-@query("b5_top_sentence", f"WITH {COMMENTS}, {_INDEX}, {_SENTENCES} SELECT ticket_id, summary FROM tops")
+_BODY = redact("coalesce(plain_body, '')")
+
+
+@query("b5_top_sentence", f"WITH {COMMENTS}, {_INDEX}, {_sentences(_BODY)} SELECT ticket_id, summary FROM tops")
 def b5(spark, d):
-    return summary.top_sentences(S.comments(spark, d), retrieval.build_index(S.knowledge(spark, d)))
+    bodies = entities.redact_all(S.comments(spark, d), "plain_body", ["ticket_id", "pos"])
+    return summary.top_sentences(bodies, retrieval.build_index(S.knowledge(spark, d)))
 
 
 _VERDICT = """verdicts AS MATERIALIZED (
@@ -269,13 +274,13 @@ def masked(x: str) -> str:
 @query("b7_entity_redaction", f"SELECT doc_id, {masked('text')} AS text FROM documents")
 def b7(spark, d):
     rows = S.knowledge(spark, d)
-    return entities.redact_entities(rows, gazetteer(spark), "text", "doc_id")
+    return entities.redact_entities(rows, gazetteer(spark), "text", ["doc_id"])
 
 
 @query("b7_entity_redaction_by_join", f"SELECT doc_id, {masked('text')} AS text FROM documents")
 def b7_join(spark, d):
     rows = S.knowledge(spark, d)
-    return entities.redact_entities(rows, gazetteer(spark), "text", "doc_id", inline_terms=0)
+    return entities.redact_entities(rows, gazetteer(spark), "text", ["doc_id"], inline_terms=0)
 
 
 # --- the whole offline run ---------------------------------------------------
@@ -284,11 +289,11 @@ _NAMED = f"""named AS (
   SELECT * REPLACE ({masked('customer_issue')} AS customer_issue, {masked('agent_resolution')} AS agent_resolution) FROM threads)"""
 _THREADS_ON_NAMED = THREADS.replace("threads AS MATERIALIZED (", "plain AS MATERIALIZED (")
 _RUN = f"""WITH {_THREADS_ON_NAMED}, {_NAMED.replace('FROM threads', 'FROM plain').replace('named AS', 'threads AS')},
-  {_INDEX}, {_BEST}, {_SENTENCES}, {_VERDICT}, {_SENTIMENT},
+  {_INDEX}, {_BEST}, {_sentences(masked(_BODY))}, {_VERDICT}, {_SENTIMENT},
 answered AS MATERIALIZED (
   SELECT t.*, b.doc_id, d.text IS NOT NULL AS found,
     CASE WHEN coalesce(customer_issue, '') = '' THEN 'N/A - No customer comment found.'
-         ELSE {redact("coalesce(d.text, 'N/A - No matching article.')")} END AS bot_answer
+         ELSE {masked(redact("coalesce(d.text, 'N/A - No matching article.')"))} END AS bot_answer
   FROM threads t LEFT JOIN best b ON b.ticket_id = t.ticket_id LEFT JOIN documents d ON d.doc_id = b.doc_id),
 compared AS MATERIALIZED (
   SELECT *, CASE WHEN found AND agent_resolution <> '' THEN CAST({_jaccard('bot_answer', 'agent_resolution')} AS DOUBLE) END AS score

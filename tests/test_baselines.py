@@ -110,7 +110,7 @@ def test_entities(spark, inline):
     rows = [(1, "Ann Lee of Acme met Ann, not Annabel or éAnn."), (2, "ACME-Acme in Lisbon"), (3, "nobody"), (4, None), (5, "Ann  Lee")]
     df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
     gazetteer = spark.createDataFrame(GAZETTEER, "term STRING, label STRING")
-    got = entities.redact_entities(df, gazetteer, "text", "doc_id", inline_terms=inline)
+    got = entities.redact_entities(df, gazetteer, "text", ["doc_id"], inline_terms=inline)
     assert [r["text"] for r in got.orderBy("doc_id").collect()] == [
         "[REDACTED PERSON] [REDACTED ORG] met [REDACTED PERSON], not Annabel or éAnn.",
         "[REDACTED ORG]-[REDACTED ORG] in Lisbon",
@@ -120,6 +120,13 @@ def test_entities(spark, inline):
     ]
 
 
+def test_a_name_inside_an_address(spark):
+    df = spark.createDataFrame([(1, 0, "Ann wrote from ann@acme.org")], "ticket_id BIGINT, pos BIGINT, plain_body STRING")
+    gazetteer = spark.createDataFrame(GAZETTEER, "term STRING, label STRING")
+    got = entities.redact_all(df, "plain_body", ["ticket_id", "pos"], gazetteer).first()["plain_body"]
+    assert got == "[REDACTED PERSON] wrote from [REDACTED EMAIL]"
+
+
 def test_spans_from_the_right(spark):
     spans = [("PERSON", 0, 3), ("DATE", 4, 7), ("ORG", 8, 12)]
     df = spark.createDataFrame([("Ann met Acme!", spans)], "t STRING, s ARRAY<STRUCT<label: STRING, start: INT, end: INT>>")

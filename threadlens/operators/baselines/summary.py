@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadlens.functions.text import redact, sentences, strip, tokens
+from threadlens.functions.text import sentences, strip, tokens
 from threadlens.operators.baselines.retrieval import KnowledgeIndex
 from threadlens.operators.joins import lookup
 
@@ -13,13 +13,13 @@ THRESHOLD = 5.0
 
 
 def top_sentences(comments: DataFrame, index: KnowledgeIndex) -> DataFrame:
-    """(ticket_id, summary): the redacted sentence with the rarest words on average.
+    """(ticket_id, summary): the sentence with the rarest words on average.
 
-    Rarity is the idf of the knowledge base, unknown words being rarest. The mean
+    ``comments`` come with redacted bodies. Rarity is the idf of the knowledge base, unknown words being rarest. The mean
     is rounded to six decimals; ties go to the earliest sentence. Only numbers are
     grouped: the chosen sentence is cut out of its comment at the end.
     """
-    body = sentences(redact(F.col("plain_body")))
+    body = sentences(F.col("plain_body"))
     place = ["ticket_id", "pos", "sentence_no"]
     words = comments.select(
         "ticket_id", "pos", F.posexplode(body).alias("sentence_no", "sentence")
