@@ -109,7 +109,8 @@ moods AS MATERIALIZED (
 
 @query("b1_lexicon_sentiment", f"WITH {THREADS}, {_SENTIMENT} SELECT * FROM moods")
 def b1(spark, d):
-    felt = sentiment.lexicon_sentiment(threads_of(spark, d), lexicon(spark))
+    rows = shared.materialise(threads_of(spark, d).select("ticket_id", "customer_issue"), "threads")
+    felt = sentiment.lexicon_sentiment(rows, lexicon(spark))
     return felt.select("ticket_id", "sentiment_score", "sentiment", "sentiment_explanation")
 
 
