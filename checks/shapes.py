@@ -10,7 +10,6 @@ from checks.registry import (
     THREADS,
     TICKETS,
     clean,
-    lit,
     query,
 )
 from threadlens import standins as S
