@@ -131,3 +131,12 @@ def test_token_counts(spark):
     for d in spark.read.parquet(f"{SMALL}/documents.parquet").collect()[:60]:
         count = sum(len(tokenizer.encode(SPACE_MARK + w).ids) for w in brute.words(d["text"]))
         assert got[d["doc_id"]]["n_tokens"] == count
+
+
+def test_substrings(spark, documents):
+    got = run(spark, "op3_substring_dedup")
+    want = brute.repeats([d["text"] for d in documents])
+    for d, expected in zip(documents, want):
+        r = got[d["doc_id"]]
+        assert (r["n_words"], r["n_removed"], r["kept_sha256"]) == expected, d["doc_id"]
+    assert sum(w[1] > 0 for w in want) > 10

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlens.llm import chat, decontaminate, langid, mixing, quality, secrets, simhash, token_counts
+from threadlens.llm import chat, decontaminate, langid, mixing, quality, secrets, simhash, substrings, token_counts
 from threadlens.llm.common import pick, sha256_hex, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         quality.passes(quality.POLICIES["default-1"]).alias("kept"),
         "failed",
     )
+
+
+@query("op3_substring_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
