@@ -114,13 +114,13 @@ PLACE = "struct<first_word long, end_word long, first_byte long, end_byte long>"
 PLACE_TYPE = pa.struct([(n, pa.int64()) for n in ("first_word", "end_word", "first_byte", "end_byte")])
 
 
-def scan(rows: DataFrame, items: Items) -> DataFrame:
+def scan(rows: DataFrame, items: Items, keep: tuple[str, ...] = ()) -> DataFrame:
     """Scan (doc_id, text, hits, item_ids) against one block, adding to hits and item_ids.
 
     hits holds merged word ranges with their byte offsets in the original text.
     """
     sent = rows.sparkSession.sparkContext.broadcast(items)
-    kind = rows.schema["doc_id"].dataType.simpleString()
+    carried = ", ".join(f"{name} {rows.schema[name].dataType.simpleString()}" for name in ("doc_id", "text", *keep))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _ready(sent.value)
@@ -145,38 +145,40 @@ def scan(rows: DataFrame, items: Items) -> DataFrame:
                 owners.append(sorted({*old_ids, *(i for i in ids if i is not None)}))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"),
-                    batch.column("text"),
+                    *map(batch.column, ("doc_id", "text", *keep)),
                     pa.array(counts, pa.int64()),
                     pa.array(hits, pa.list_(PLACE_TYPE)),
                     pa.array(owners, pa.list_(pa.int64())),
                 ],
-                ["doc_id", "text", "n_words", "hits", "item_ids"],
+                ["doc_id", "text", *keep, "n_words", "hits", "item_ids"],
             )
 
-    return rows.mapInArrow(
-        find, f"doc_id {kind}, text string, n_words long, hits array<{PLACE}>, item_ids array<long>"
-    )
+    return rows.mapInArrow(find, f"{carried}, n_words long, hits array<{PLACE}>, item_ids array<long>")
 
 
-def find_contamination(documents: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_contamination(
+    documents: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, keep: tuple[str, ...] = ()
+) -> DataFrame:
     """(doc_id, text, n_words, n_hit, n_items, item_ids, hits, contaminated) per document row.
 
+    Columns named in `keep` are carried along.
+
     A word inside any occurrence of a window is hit; a document is contaminated when at
     least one word in twenty is. Null and empty texts have no words and are clean; a
     null item text is no item; an item with a null id marks words but is not listed.
     Repeated rows each give a row. With an empty benchmark nothing is hit.
     """
-    found = pick(documents, "doc_id", "text")
+    found = pick(documents, "doc_id", "text", *keep)
     for items in item_blocks(benchmark, block_bytes):
         if "hits" not in found.columns:
             nothing = {"hits": F.array().cast(f"array<{PLACE}>"), "item_ids": F.array().cast("array<long>")}
             found = found.withColumns(nothing)
-        found = scan(found.select("doc_id", "text", "hits", "item_ids"), items)
+        found = scan(found.select("doc_id", "text", *keep, "hits", "item_ids"), items, keep)
     covered = F.aggregate("hits", F.lit(0).cast("long"), lambda n, h: n + h["end_word"] - h["first_word"])
     return found.select(
         "doc_id",
         "text",
+        *keep,
         "n_words",
         covered.alias("n_hit"),
         F.size("item_ids").cast("long").alias("n_items"),

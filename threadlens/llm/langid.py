@@ -155,19 +155,18 @@ def presence_rows(texts: list[np.ndarray], places: np.ndarray, grams: int) -> np
     return out[:, :grams]
 
 
-def identify(documents: DataFrame, model: Model | None) -> DataFrame:
-    """(doc_id, text, lang_pred, score) for every row of (doc_id, text).
+def identify(documents: DataFrame, model: Model | None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text, lang_pred, score) for every row of (doc_id, text), and columns to keep.
 
     lang_pred is a learned language; `und` with score 0 for null texts, texts without
     a letter, and every text when nothing was learned. Texts are read whole. score is
     the winning language's regression value, cut to 0..1. Ties go to the language first
     by name. Repeated rows each give a row.
     """
-    rows = pick(documents, "doc_id", "text").withColumn(
-        "known", has_letter(F.col("text")) if model is not None else F.lit(False)
-    )
+    rows = pick(documents, "doc_id", "text", *keep)
+    carried = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    rows = rows.withColumn("known", has_letter(F.col("text")) if model is not None else F.lit(False))
     sent = documents.sparkSession.sparkContext.broadcast(model)
-    kind = rows.schema["doc_id"].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
@@ -185,11 +184,11 @@ def identify(documents: DataFrame, model: Model | None) -> DataFrame:
                     names[i] = own.languages[best]
                     values[i] = float(min(1.0, max(0.0, value)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text"), pa.array(names), pa.array(values, pa.float64())],
-                ["doc_id", "text", "lang_pred", "score"],
+                [*map(batch.column, ("doc_id", "text", *keep)), pa.array(names, pa.string()), pa.array(values, pa.float64())],
+                ["doc_id", "text", *keep, "lang_pred", "score"],
             )
 
-    return rows.mapInArrow(score, f"doc_id {kind}, text string, lang_pred string, score double")
+    return rows.mapInArrow(score, f"{carried}, lang_pred string, score double")
 
 
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:

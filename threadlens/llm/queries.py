@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlens.llm import chat, decontaminate, langid, mixing, quality, secrets, simhash, substrings, token_counts
+from threadlens.llm import chat, decontaminate, langid, mixing, quality, secrets, simhash, substrings, token_counts, toxicity
 from threadlens.llm.common import pick, sha256_hex, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,13 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_substring_dedup")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op10_toxicity")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = pick(table(spark, sf_dir, "documents"), "doc_id", "text")
+    labels = pick(table(spark, sf_dir, "labels"), "doc_id", "toxic")
+    out = langid.held_out(F.col("doc_id"), 5, 0)
+    labelled = documents.where(~out).join(labels, "doc_id").select("text", "toxic")
+    scored = toxicity.score(documents, toxicity.learn(labelled))
+    return scored.select("doc_id", out.alias("held_out"), "score", "predicted")

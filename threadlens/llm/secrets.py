@@ -120,16 +120,20 @@ def rule_spans(text: str, rule: Rule, rank: int) -> str:
     return f"IF(regexp_like({text}, {pattern}), {found}, array())"
 
 
-def find_secrets(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def find_secrets(
+    documents: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] = ()
+) -> DataFrame:
     """(doc_id, text, spans) per document row, spans by start, then in the rules' order.
 
+    Columns named in `keep` are carried along.
+
     A span is (start, rank, kind, end): code points, end exclusive, rank the rule's
     place. Null and empty texts have no spans. Rules are independent, so spans of
     different rules may overlap. Repeated rows each give a row.
     """
     queries = [query_of(rule.pattern) for rule in rules]
     grams = list(dict.fromkeys(g for q in queries for g in grams_in(q)))
-    rows = pick(documents, "doc_id", "text").withColumn("body", F.expr("coalesce(text, '')"))
+    rows = pick(documents, "doc_id", "text", *keep).withColumn("body", F.expr("coalesce(text, '')"))
     # Bound by name, or the optimiser would lower the text once per trigram.
     postings = let("lowered", "lower(body)", f"filter({strings(grams)}, g -> contains(lowered, g))")
     rows = rows.withColumn("postings", F.expr(postings))
@@ -142,7 +146,7 @@ def find_secrets(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataF
         }
     )
     spans = F.sort_array(F.concat(*[F.col(f"s{rank}") for rank in range(len(rules))]))
-    return found.select("doc_id", "text", spans.alias("spans"))
+    return found.select("doc_id", "text", *keep, spans.alias("spans"))
 
 
 def spelled(spans: str) -> str:

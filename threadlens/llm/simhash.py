@@ -8,7 +8,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadlens.llm.common import in_pieces, pick, raw_texts
@@ -50,21 +50,21 @@ def fingerprint(hashes: list[int]) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(documents: DataFrame) -> DataFrame:
-    """(doc_id, fp) for every row of (doc_id, text); fp holds the 64 bits as a long.
+def fingerprints(documents: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp) for every row of (doc_id, text), and columns to keep; fp holds the 64 bits as a long.
 
     Letters A-Z count as a-z. Null, empty and blank texts have fingerprint 0.
     """
-    rows = pick(documents, "doc_id", "text")
-    kind = rows.schema["doc_id"].dataType.simpleString()
+    rows = pick(documents, "doc_id", "text", *keep)
+    carried = ", ".join(f"{name} {rows.schema[name].dataType.simpleString()}" for name in ("doc_id", *keep))
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_pieces(batches, "text", PIECE_BYTES):
             prints = [fingerprint(shingle_hashes(text)) for text in raw_texts(batch.column("text"))]
             signed = pa.array(np.array(prints, dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), signed], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, ("doc_id", *keep)), signed], ["doc_id", *keep, "fp"])
 
-    return rows.mapInArrow(take, f"doc_id {kind}, fp long")
+    return rows.mapInArrow(take, f"{carried}, fp long")
 
 
 def signed(mask: int) -> int:
@@ -216,8 +216,12 @@ def links(prints: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame:
     return sharded.groupBy("shard").applyInArrow(join, "a long, b long")
 
 
-def near_duplicates(documents: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of (doc_id, text).
+def near_duplicates(
+    documents: DataFrame, group_limit: int = GROUP_LIMIT, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """(doc_id, fp, root, component_id) for every row of (doc_id, text), and columns to keep.
+
+    root is one print of the component, component_id its smallest doc_id.
 
     Prints link at three or fewer differing bits, and components are over all links;
     component_id is the smallest doc_id in the component. Rows with equal texts, repeated
@@ -225,15 +229,31 @@ def near_duplicates(documents: DataFrame, group_limit: int = GROUP_LIMIT) -> Dat
     smallest unless a component has no other; then component_id is null. An empty table
     gives an empty result.
     """
-    rows = materialise(fingerprints(documents), "simhash-prints")
+    rows = materialise(fingerprints(documents, keep), "simhash-prints")
     prints = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     roots = components(links(prints.select("fp"), group_limit), "simhash-components")
     placed = prints.join(roots, prints["fp"] == roots["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = placed.join(named, "root").select("fp", "component_id")
-    return rows.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    by_print = placed.join(named, "root").select("fp", "root", "component_id")
+    return rows.join(by_print, "fp").select("doc_id", *keep, "fp", "root", "component_id")
+
+
+def kept_rows(documents: DataFrame) -> DataFrame:
+    """(doc_id, mark): one row of each component, by id and MD5 of the text.
+
+    It is the row with the smallest id, nulls last, and of rows that share the id the
+    one with the smallest mark. Rows equal in both are one row here.
+    """
+    marked = pick(documents, "doc_id", "text").withColumn("mark", text_mark("text"))
+    found = near_duplicates(marked, keep=("mark",))
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("mark"))).alias("first")
+    return found.groupBy("root").agg(first).select("first.doc_id", "first.mark")
+
+
+def text_mark(text: str) -> Column:
+    return F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
 
 
 def hexadecimal(fp: str = "fp"):
