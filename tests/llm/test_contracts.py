@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import brute
 import pytest
 
+from threadlens.llm import substrings
 from threadlens.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -133,8 +134,12 @@ def test_token_counts(spark):
         assert got[d["doc_id"]]["n_tokens"] == count
 
 
-def test_substrings(spark, documents):
-    got = run(spark, "op3_substring_dedup")
+@pytest.mark.parametrize("crowd", [None, 1])
+def test_substrings(spark, documents, crowd):
+    if crowd is None:
+        got = run(spark, "op3_substring_dedup")
+    else:
+        got = by_id(substrings.remove_repeats(spark.read.parquet(f"{SF}/documents.parquet"), crowd).collect())
     want = brute.repeats([d["text"] for d in documents])
     for d, expected in zip(documents, want):
         r = got[d["doc_id"]]

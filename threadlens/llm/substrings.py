@@ -13,7 +13,8 @@ windows with the same route travels as one segment of text.
 5. The windows come back to their documents, and the words under them are removed.
 
 Routes may share hashes by chance; that only sends more segments. Windows are
-compared as words. A route that very many rows share is dealt again window by window.
+compared as words. A route with very many different segments is dealt again window by
+window, so no shard grows with the data.
 """
 
 from __future__ import annotations
@@ -22,11 +23,13 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from threadlens.llm.common import in_pieces, pick, raw_texts
 from threadlens.llm.fmindex import FMIndex
@@ -36,7 +39,7 @@ WINDOW = 35
 GRAM = 6
 ROUTES = WINDOW - GRAM + 1  # 6-word runs in a window
 LONGEST_RUN = 64
-HOT = 4096
+CROWD = 16_384  # different segments of a route, under a million words
 WORDS_PER_SHARD = 150_000
 PATTERNS_AT_ONCE = 100_000
 PIECE_BYTES = 1 << 20
@@ -210,15 +213,10 @@ def packed(documents: DataFrame) -> DataFrame:
 
 
 def cut(words: list[bytes], segments: list[dict]) -> Iterator[tuple[int, int, bytes]]:
-    """(route, at, text) of a document's segments; those of hot routes window by window."""
+    """(route, at, text) of a document's segments."""
     for s in segments:
         first, size = s["at"] >> 8, s["at"] & 127
-        if s["n"] <= HOT:
-            yield s["route"], s["at"], b" ".join(words[first : first + size + WINDOW - 1])
-            continue
-        for start in range(first, first + size):
-            text = b" ".join(words[start : start + WINDOW])
-            yield digest_of(text)[0], start << 8 | 1, text
+        yield s["route"], s["at"], b" ".join(words[first : first + size + WINDOW - 1])
 
 
 def segment_texts(rows: DataFrame) -> DataFrame:
@@ -311,6 +309,91 @@ def repeated_windows(shard: pa.Table) -> pa.Table:
     )
 
 
+def window_texts(segments: DataFrame) -> DataFrame:
+    """(s1, s2, place, segment, weight): each window of a segment as a segment of its own."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, weight in zip(batch.column("segment").to_pylist(), batch.column("weight").to_pylist()):
+                words = text.split()
+                count = len(words) - WINDOW + 1
+                first, second = digest_of(text)
+                parts = [b" ".join(words[i : i + WINDOW]) for i in range(count)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([first] * count, pa.int64()),
+                        pa.array([second] * count, pa.int64()),
+                        pa.array(range(count), pa.int64()),
+                        pa.array(parts, pa.binary()),
+                        pa.array([weight] * count, pa.int64()),
+                    ],
+                    ["s1", "s2", "place", "segment", "weight"],
+                )
+
+    return segments.select("segment", "weight").mapInArrow(
+        split, "s1 long, s2 long, place long, segment binary, weight long"
+    )
+
+
+def searched(segments: DataFrame) -> DataFrame:
+    """(s1, s2, mask) for distinct (route, segment, weight), by shards of whole routes."""
+    size = segments.agg(F.sum(F.octet_length("segment"))).first()[0] or 0
+    shards = max(1, size // (6 * WORDS_PER_SHARD))
+    sharded = segments.withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards)))
+    return sharded.groupBy("shard").applyInArrow(repeated_windows, "s1 long, s2 long, mask binary")
+
+
+def segment_masks(distinct: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """(s1, s2, mask) of distinct segments that have a repeated window.
+
+    Segments of a crowded route become windows, each dealt by its own digest; equal
+    windows are one row with their weights added, and what is found goes back to the
+    segments they came from.
+    """
+    crowded = distinct.groupBy("route").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd)
+    crowded = materialise(crowded.select("route"), "repeats-crowded")
+    if crowded.isEmpty():
+        return searched(distinct)
+    calm = searched(distinct.join(crowded, "route", "left_anti"))
+    apart = materialise(window_texts(distinct.join(crowded, "route", "left_semi")), "repeats-windows")
+    own = apart.withColumn("route", F.xxhash64("segment"))
+    found = searched(own.groupBy("route", "segment").agg(F.sum("weight").alias("weight")))
+    places = window_digests(apart)
+    back = places.join(found.select(F.col("s1").alias("w1"), F.col("s2").alias("w2")), ["w1", "w2"])
+    masks = back.groupBy("s1", "s2").agg(F.collect_set("place").alias("places"))
+    return calm.unionByName(masks.select("s1", "s2", mask_of("places").alias("mask")))
+
+
+def window_digests(windows: DataFrame) -> DataFrame:
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = np.array([digest_of(t) for t in batch.column("segment").to_pylist()], np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *map(batch.column, ("s1", "s2", "place")),
+                    pa.array(np.ascontiguousarray(pairs[:, 0])),
+                    pa.array(np.ascontiguousarray(pairs[:, 1])),
+                ],
+                ["s1", "s2", "place", "w1", "w2"],
+            )
+
+    return windows.select("s1", "s2", "place", "segment").mapInArrow(
+        digest, "s1 long, s2 long, place long, w1 long, w2 long"
+    )
+
+
+@F.pandas_udf(BinaryType())
+def mask_of(places: pd.Series) -> pd.Series:
+    """Places of windows as a bit mask."""
+
+    def one(own) -> bytes:
+        bits = np.zeros(LONGEST_RUN, np.uint8)
+        bits[np.asarray(own, np.int64)] = 1
+        return np.packbits(bits, bitorder="little").tobytes()
+
+    return places.map(one)
+
+
 def removed(rows: DataFrame) -> DataFrame:
     """(doc_id, text, n_words, n_removed, kept_sha256) for texts with their masks."""
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -347,7 +430,7 @@ def removed(rows: DataFrame) -> DataFrame:
     )
 
 
-def remove_repeats(documents: DataFrame) -> DataFrame:
+def remove_repeats(documents: DataFrame, crowd: int = CROWD) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) for every row of (doc_id, text).
 
     Null texts have no words and lose none; texts under 35 words lose none. Rows are
@@ -381,15 +464,13 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     distinct = materialise(
         segment_texts(sent).groupBy("route", "segment").agg(F.sum("weight").alias("weight")), "repeats-segments"
     )
-    words = distinct.agg(F.sum(F.octet_length("segment"))).first()[0] or 0
-    shards = max(1, words // (6 * WORDS_PER_SHARD))
-    sharded = distinct.withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards)))
-    masks = sharded.groupBy("shard").applyInArrow(repeated_windows, "s1 long, s2 long, mask binary")
+    masks = segment_masks(distinct, crowd)
     single = sent.where(F.col("copies") == 1)
     hit = segment_places(single).join(masks, ["s1", "s2"]).groupBy("d1", "d2").agg(
         F.collect_list(F.struct("at", "mask")).alias("masks")
     )
-    searched = removed(single.join(hit, ["d1", "d2"]))
+    hit = materialise(hit, "repeats-hits")
+    changed = removed(single.join(hit, ["d1", "d2"]))
     emptied = joined.where(F.col("copies") > 1).select(
         "doc_id",
         "n_words",
@@ -398,4 +479,4 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     )
     rest = joined.where(F.col("copies") == 1).join(hit.select("d1", "d2"), ["d1", "d2"], "left_anti")
     untouched = rest.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("whole_sha256").alias("kept_sha256"))
-    return searched.unionByName(emptied).unionByName(untouched)
+    return changed.unionByName(emptied).unionByName(untouched)
