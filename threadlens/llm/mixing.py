@@ -29,7 +29,7 @@ BLOCK_WORDS = 128
 SHARD_SLOTS = 4096
 ROUNDS = 12
 BUCKET_DIGITS = 3
-SLOTS_PER_TASK = 100_000
+SLOTS_PER_CHUNK = 10_000
 
 
 def document_sizes(documents: DataFrame) -> DataFrame:
@@ -124,12 +124,14 @@ def slots(targets: DataFrame, block: int = BLOCK_WORDS, shard_slots: int = SHARD
     upto = W.orderBy("place").rowsBetween(W.unboundedPreceding, -1)
     plan = plan.withColumn("first", F.coalesce(F.sum("n_slots").over(upto), F.lit(0)))
     plan = plan.withColumn("total", F.sum("n_slots").over(W.partitionBy()))
-    chunks = plan.withColumn("chunk", F.explode(F.expr(f"sequence(0L, greatest(n_slots - 1, 0L) div {SLOTS_PER_TASK})")))
-    chunks = chunks.repartition("place", "chunk")
+    chunks = plan.withColumn("chunk", F.explode(F.expr(f"sequence(0L, greatest(n_slots - 1, 0L) div {SLOTS_PER_CHUNK})")))
+    # A number is named, or adaptive execution would put these few bytes in one task.
+    tasks = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks = chunks.repartition(tasks, "place", "chunk")
     numbered = chunks.withColumn(
         "j",
         F.explode(
-            F.expr(f"sequence(chunk * {SLOTS_PER_TASK}, least(n_slots, (chunk + 1) * {SLOTS_PER_TASK}) - 1)")
+            F.expr(f"sequence(chunk * {SLOTS_PER_CHUNK}, least(n_slots, (chunk + 1) * {SLOTS_PER_CHUNK}) - 1)")
         ),
     )
     epochs = numbered.withColumn("epoch", F.expr("j div blocks")).withColumn("i", F.expr("j % blocks"))
@@ -171,7 +173,7 @@ def packed(placed: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
 def mix(pieces: DataFrame, slot_rows: DataFrame) -> DataFrame:
     """The mix itself, as spans of documents: (shard, slot, place, doc_id, source, first_word, words)."""
     taken = F.expr("least(place + words, used) - place")
-    joined = pieces.join(slot_rows, ["key", "block_index"]).withColumn("words", taken).where("words > 0")
+    joined = pieces.join(slot_rows.hint("merge"), ["key", "block_index"]).withColumn("words", taken).where("words > 0")
     return joined.select("shard", "slot", "place", "doc_id", "source", "start", "size", "key", "first_word", "words")
 
 
@@ -187,7 +189,8 @@ def mixed_documents(documents: DataFrame, block: int = BLOCK_WORDS) -> DataFrame
     targets = materialise(source_targets(sizes), "mix-targets")
     placed = placed_documents(sizes)
     pieces = packed(placed, block)
-    used = pieces.join(slots(targets, block), ["key", "block_index"], "left")
+    # Slots grow with the data, which the planner cannot see behind the sequences.
+    used = pieces.join(slots(targets, block).hint("merge"), ["key", "block_index"], "left")
     words = F.expr("IF(used IS NULL, 0L, greatest(least(place + words, used) - place, 0L))")
     taken = used.groupBy("key", "start", "doc_id", "size").agg(F.sum(words).alias("taken"))
     empty = keyed(sizes.where("size = 0")).select("key", F.lit(0).cast("long").alias("start"), "doc_id", "size", F.lit(0).cast("long").alias("taken"))
