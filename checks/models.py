@@ -262,10 +262,10 @@ def b6(spark, d):
     return rows.select(F.col("doc_id").alias("ticket_id"), advice.alias("recommendation"))
 
 
-def masked(x: str) -> str:
+def masked(x: str, terms=S.GAZETTEER) -> str:
     """Longest term first; each replacement runs twice because SQL's pattern takes the
     separators with it."""
-    for term, label in sorted(S.GAZETTEER, key=lambda t: (-len(t[0]), t[0])):
+    for term, label in sorted(terms, key=lambda t: (-len(t[0]), t[0])):
         inner = term.replace(" ", r"[^\p{L}\p{N}]+")
         for _ in range(2):
             x = rf"regexp_replace({x}, '(?i)(^|[^\p{{L}}\p{{N}}]){inner}([^\p{{L}}\p{{N}}]|$)', '\1[REDACTED {label}]\2', 'g')"
@@ -278,6 +278,15 @@ def b7(spark, d):
     return entities.redact_entities(rows, gazetteer(spark), "text", ["doc_id"])
 
 
+LONG_NAMES = [("of the and", "PERSON"), ("that the", "ORG"), ("in the of", "ORG"), ("con", "PERSON")]
+
+
+@query("b7_long_names", f"SELECT doc_id, {masked('text', LONG_NAMES)} AS text FROM documents")
+def b7_long(spark, d):
+    names = S.words(spark, LONG_NAMES, "term STRING, label STRING")
+    return entities.redact_entities(S.knowledge(spark, d), names, "text", ["doc_id"])
+
+
 @query("b7_entity_redaction_by_join", f"SELECT doc_id, {masked('text')} AS text FROM documents")
 def b7_join(spark, d):
     rows = S.knowledge(spark, d)

@@ -88,7 +88,7 @@ COMMENTS = """comments AS (
 
 ANALYSED = """analysed AS (
   SELECT d.doc_id AS ticket_id, 'Unassigned' AS assignee_id,
-         '2024-01-01T00:00:00Z' AS created_at, substr(text, 1, 200) AS summary,
+         '2024-01-01T00:00:00Z' AS created_at, text AS summary,
          CASE WHEN quality = 1 THEN 'Self Service Possible?: Yes' || chr(10) || chr(10) || 'Reason:' || chr(10) || 'quality mark'
               WHEN quality = 0 THEN 'Self Service Possible?: Not sure' || chr(10) || chr(10) || 'Reason:' || chr(10) || 'no quality mark'
               ELSE 'N/A' END AS self_service_analysis,

@@ -15,7 +15,7 @@ from checks.registry import (
 from threadlens import standins as S
 from threadlens.functions.dates import ticket_url, timeframe_label
 from threadlens.operators import assemble, breakdowns, deflection, threads, tickets
-from threadlens.operators.enrich import not_yet_done
+from threadlens.operators.enrich import not_yet_done, with_earlier
 from threadlens.sources import shared, snapshots
 
 # --- projections -------------------------------------------------------------
@@ -201,6 +201,17 @@ def j6(spark, d):
     done = S.analysed(spark, d)
     return not_yet_done(S.tickets(spark, d), done).select("ticket_id", "status")
 
+@query(
+    "j6_incremental_union",
+    f"""WITH {ANALYSED}, fresh AS (SELECT * REPLACE ('checked again' AS theme) FROM analysed WHERE bot_correct <> 'N/A')
+    SELECT ticket_id, theme, summary FROM fresh
+    UNION ALL SELECT ticket_id, theme, summary FROM analysed WHERE ticket_id NOT IN (SELECT ticket_id FROM fresh)""",
+)
+def j6_union(spark, d):
+    earlier = S.analysed(spark, d)
+    fresh = earlier.where(F.col("bot_correct") != "N/A").withColumn("theme", F.lit("checked again"))
+    return with_earlier(fresh, earlier).select("ticket_id", "theme", "summary")
+
 # --- orders and limits -------------------------------------------------------
 
 @query(
@@ -233,10 +244,6 @@ def o3(spark, d):
     rows = rows.select(F.col("conv_id").alias("ticket_id"), F.col("turn").alias("pos"), F.col("text").alias("plain_body"))
     return threads.last_rows(rows)
 
-@query("o4_event_cap", "SELECT count(*) AS views FROM (SELECT 1 FROM events WHERE event_type = 'view' LIMIT 2000)")
-def o4(spark, d):
-    return deflection.total_count(S.article_views(spark, d).limit(2000), "views")
-
 @query(
     "o5_export_order",
     f"WITH {COMMENTS} SELECT ticket_id, pos, plain_body FROM comments ORDER BY ticket_id, pos",

@@ -146,7 +146,6 @@ def test_landed_json(spark, tmp_path):
     (tmp_path / "views" / "a.json").write_text("\n".join(lines))
     views = landed.read_article_views(spark, str(tmp_path / "views"), dt.datetime(2024, 1, 3))
     assert views.count() == 3
-    assert landed.read_article_views(spark, str(tmp_path / "views"), dt.datetime(2024, 1, 1), max_events=2).count() == 2
     path = new_path(spark, "activity")
     views.withColumnRenamed("event_id", "conversation_id").write.parquet(path)
     window = dt.datetime(2024, 1, 3), dt.datetime(2024, 1, 4)

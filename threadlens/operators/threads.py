@@ -1,9 +1,8 @@
 """Comment threads: opening message, final answer, transcript.
 
-No step gathers an unbounded thread in one place. Opening and final comments are
-min_by/max_by aggregates, which shrink inside each task before the shuffle. A
-transcript is text for one reader and is therefore bounded by a comment count;
-longer threads keep all of their text in numbered parts.
+Opening and final comments are min_by/max_by aggregates, which shrink inside each task
+before the shuffle. A transcript is the whole thread as one text, so its group is one
+thread, however long; ``transcript_parts`` gives the same text in numbered parts.
 
 Threads that land as one array per ticket need none of this: ``assemble_arrays``
 works inside the row, and the only shuffle left is the join to the tickets.
@@ -16,8 +15,6 @@ from pyspark.sql import functions as F
 
 from threadlens.functions.text import comment_line, is_blank, redact, strip
 
-# Threads up to this many comments get a one-piece transcript.
-MAX_COMMENTS = 5000
 PART_COMMENTS = 500
 
 
@@ -97,34 +94,14 @@ def _with_line(comments: DataFrame) -> DataFrame:
     return comments.select("ticket_id", "pos", line.alias("line"))
 
 
-def thread_sizes(comments: DataFrame) -> DataFrame:
-    return comments.groupBy("ticket_id").agg(
-        F.count(F.lit(1)).alias("comment_count"),
-        F.sum(F.length(F.coalesce("plain_body", F.lit("")))).alias("body_chars"),
-    )
-
-
-def transcripts(comments: DataFrame, max_comments: int = MAX_COMMENTS) -> DataFrame:
-    """(ticket_id, comment_count, transcript) for every thread that has comments.
-
-    Text of positions from ``max_comments`` on is left out before grouping, so a
-    group never holds more than that; a thread that long gets a null transcript
-    and its count, and ``transcript_parts`` has all of its text.
-    """
-    short = F.when(F.col("pos") < max_comments, F.col("line"))
+def transcripts(comments: DataFrame) -> DataFrame:
+    """(ticket_id, comment_count, transcript): every thread that has comments, whole."""
     return (
         _with_line(comments)
-        .select("ticket_id", "pos", short.alias("line"))
         .groupBy("ticket_id")
         .agg(
             F.count(F.lit(1)).alias("comment_count"),
-            F.max("pos").alias("last_pos"),
-            F.expr("listagg(line, '\\n') WITHIN GROUP (ORDER BY pos)").alias("text"),
-        )
-        .select(
-            "ticket_id",
-            "comment_count",
-            F.when(F.col("last_pos") < max_comments, F.col("text")).alias("transcript"),
+            F.expr("listagg(line, '\\n') WITHIN GROUP (ORDER BY pos)").alias("transcript"),
         )
     )
 
@@ -140,20 +117,18 @@ def transcript_parts(comments: DataFrame, part_comments: int = PART_COMMENTS) ->
     )
 
 
-def assemble_threads(
-    tickets: DataFrame, comments: DataFrame, max_comments: int | None = MAX_COMMENTS
-) -> DataFrame:
+def assemble_threads(tickets: DataFrame, comments: DataFrame, transcript: bool = True) -> DataFrame:
     """Every ticket with its redacted opening message, redacted final answer, comment
-    count and transcript (left out when ``max_comments`` is None).
+    count and, unless left out, transcript.
 
     ``comment_count`` is 0 for an empty thread.
     """
     joined = tickets.join(answer_bounds(tickets, comments), "ticket_id", "left")
-    if max_comments is None:
+    if not transcript:
         counts = comments.groupBy("ticket_id").agg(F.count(F.lit(1)).alias("comment_count"))
         joined = joined.join(counts, "ticket_id", "left")
     else:
-        joined = joined.join(transcripts(comments, max_comments), "ticket_id", "left")
+        joined = joined.join(transcripts(comments), "ticket_id", "left")
     return (
         joined.withColumn("customer_issue", redact(F.col("customer_issue")))
         .withColumn("agent_resolution", redact(F.col("agent_resolution")))
@@ -161,9 +136,7 @@ def assemble_threads(
     )
 
 
-def assemble_arrays(
-    tickets: DataFrame, threads: DataFrame, max_comments: int = MAX_COMMENTS
-) -> DataFrame:
+def assemble_arrays(tickets: DataFrame, threads: DataFrame) -> DataFrame:
     """``assemble_threads`` for landed threads (ticket_id, comments array), same columns.
 
     Everything is computed from the array in its own order, row by row.
@@ -193,7 +166,7 @@ def assemble_arrays(
         .withColumn("comment_count", F.when(count > 0, count).otherwise(F.lit(0)))
         .withColumn(
             "transcript",
-            F.when(F.col("comment_count").between(1, max_comments), F.array_join(lines, "\n")),
+            F.when(F.col("comment_count") > 0, F.array_join(lines, "\n")),
         )
         .drop("comments", "_shown")
     )

@@ -46,10 +46,7 @@ def read_article_views(
     spark: SparkSession,
     path: str,
     start: dt.datetime,
-    max_events: int | None = None,
     fmt: str = "json",
 ) -> DataFrame:
-    """Article views since ``start``; ``max_events`` keeps the optional cap on how much
-    is read, off by default."""
-    views = between(_read(spark, path, schemas.ARTICLE_VIEWS, fmt), start)
-    return views if max_events is None else views.limit(max_events)
+    """All article views since ``start``."""
+    return between(_read(spark, path, schemas.ARTICLE_VIEWS, fmt), start)

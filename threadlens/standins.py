@@ -101,7 +101,7 @@ def analysed(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("ticket_id"),
         F.lit("Unassigned").alias("assignee_id"),
         F.lit("2024-01-01T00:00:00Z").alias("created_at"),
-        F.substring("text", 1, 200).alias("summary"),
+        F.col("text").alias("summary"),
         verdict.alias("self_service_analysis"),
         F.lit("").alias("bot_answer"),
         F.when(toxic == 0, "Yes").when(toxic == 1, "No").otherwise("N/A").alias("bot_correct"),
