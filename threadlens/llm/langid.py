@@ -75,14 +75,14 @@ def fit(languages: list[str], grams_of: list[np.ndarray], labels: list[str]) ->
     """Fit on the distinct gram codes of a bounded sample.
 
     Landmarks are the first rows of each language in the given order. Grams that fewer
-    than two landmarks have are left out; beyond `MOST_GRAMS`, the most common stay.
+    than two landmarks have are left out, if there are over eight landmarks; beyond `MOST_GRAMS`, the most common stay.
     """
     labels_ = np.array([languages.index(x) for x in labels], dtype=np.int64)
     chosen = np.concatenate(
         [np.flatnonzero(labels_ == k)[:LANDMARKS_PER_LANGUAGE] for k in range(len(languages))]
     )
     codes, counts = np.unique(np.concatenate([grams_of[i] for i in chosen]), return_counts=True)
-    common = np.flatnonzero(counts >= min(2, len(chosen)))
+    common = np.flatnonzero(counts >= (2 if len(chosen) > 8 else 1))
     common = common[np.argsort(-counts[common], kind="stable")][:MOST_GRAMS]
     grams = np.sort(codes[common])
     presence = np.zeros((len(labels_), len(grams)), np.float32)

@@ -100,14 +100,15 @@ def slots(targets: DataFrame, block: int = BLOCK_WORDS, shard_slots: int = SHARD
 
     `used` is how many words of its block a slot takes: all, but for a source's last.
     """
+    # Filters may run after the divisions below, hence the lower bounds of one.
     plan = keyed(targets).where((F.col("source_size") > 0) & (F.col("target") > 0)).select(
         "key",
         "place",
         "source_size",
-        F.expr(f"CAST(ceil(source_size / {block}) AS bigint)").alias("blocks"),
+        F.expr(f"greatest(1L, CAST(ceil(source_size / {block}) AS bigint))").alias("blocks"),
         F.expr("CAST(floor(target + 0.5D) AS bigint)").alias("wanted"),
     )
-    plan = plan.withColumn("full", F.expr("wanted div source_size"))
+    plan = plan.withColumn("full", F.expr("wanted div greatest(source_size, 1L)"))
     plan = plan.withColumn("rest", F.expr("wanted - full * source_size"))
     # Where the short last block falls in the epoch that is cut off.
     plan = plan.withColumn("short_at", inverse_place("blocks - 1", "blocks", "concat_ws('/', 'block', place, full)"))
