@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from threadlens.llm import chat, decontaminate, langid, mixing, quality, secrets, simhash, substrings, token_counts, toxicity
 from threadlens.llm.common import pick, sha256_hex, table
+from threadlens.llm.oracles import ORACLE  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
 
 
 def query(name: str):
