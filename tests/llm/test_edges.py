@@ -116,7 +116,7 @@ def test_learned(spark):
     assert {r["lang_pred"] for r in langid.identify(docs, None).collect()} == {"und"}
     labels = F.when(F.col("doc_id") == 7, 1).when(F.col("doc_id") > 0, 0)
     for toxic in (labels, F.lit(1), F.lit(None).cast("int")):
-        scored = toxicity.score(docs, toxicity.learn(plain.select("text", toxic.alias("toxic")))).collect()
+        scored = toxicity.score(docs, toxicity.learn(plain, plain.select("doc_id", toxic.alias("toxic")))).collect()
         assert len(scored) == len(TEXTS) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in scored)
 
 
@@ -175,5 +175,5 @@ def test_empty_tables(spark):
     assert mixing.mixed_documents(empty).count() == 0
     assert decontaminate.find_contamination(empty, bench).count() == 0
     assert secrets.find_secrets(empty).count() == quality.ledger(empty).count() == 0
-    assert toxicity.score(empty, toxicity.learn(pick(empty, "text").select("text", F.lit(1).alias("toxic")))).count() == 0
+    assert toxicity.score(empty, toxicity.learn(empty, pick(empty, "doc_id").select("doc_id", F.lit(1).alias("toxic")))).count() == 0
     assert token_counts.token_counts(empty, ()).count() == 0

@@ -116,6 +116,5 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = pick(table(spark, sf_dir, "documents"), "doc_id", "text")
     labels = pick(table(spark, sf_dir, "labels"), "doc_id", "toxic")
     out = langid.held_out(F.col("doc_id"), 5, 0)
-    labelled = documents.where(~out).join(labels, "doc_id").select("text", "toxic")
-    scored = toxicity.score(documents, toxicity.learn(labelled))
+    scored = toxicity.score(documents, toxicity.learn(documents.where(~out), labels))
     return scored.select("doc_id", out.alias("held_out"), "score", "predicted")

@@ -129,22 +129,28 @@ def press_of(model: Model) -> Press:
     return _presses[model]
 
 
-def sample(labelled: DataFrame, toxic: int, ordinary: int) -> DataFrame:
+def sample(documents: DataFrame, labels: DataFrame, toxic: int, ordinary: int) -> DataFrame:
     """(key, text, toxic, half, share) of about so many rows of each class.
 
-    Rows are drawn by a hash of the text at a rate from the class's row count. Copies count
-    once. `share` is the rate, `half` splits the sample by another hash.
+    Rows of (doc_id, text) and (doc_id, toxic) are drawn by a hash of the text at a rate from
+    the class's row count. Copies count once. `share` is the rate, `half` splits the sample by
+    another hash. Labels meet hashes of texts, so no text is shuffled before it is drawn; the
+    drawn ids, one for each distinct text, are as few as the sample and are broadcast.
     """
-    usable = labelled.where(F.col("toxic").isin(0, 1)).withColumn("text", F.coalesce("text", F.lit("")))
-    sizes = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = pick(documents, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
+    rows = rows.withColumn("key", F.xxhash64(F.lit("toxicity sample"), "text"))
+    usable = pick(labels, "doc_id", "toxic").where(F.col("toxic").isin(0, 1))
+    marked = materialise(rows.select("doc_id", "key").join(usable, "doc_id"), "toxicity-marked")
+    sizes = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     rate = lambda want, label: min(1.0, want / max(1, sizes.get(label, 0)))
     share = F.when(F.col("toxic") == 1, F.lit(rate(toxic, 1))).otherwise(F.lit(rate(ordinary, 0)))
-    key = F.xxhash64(F.lit("toxicity sample"), "text")
-    draw = F.pmod(key, F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rows = usable.withColumn("key", key).withColumn("share", share).where(draw < F.col("share"))
-    return rows.groupBy("key", "toxic").agg(F.first("text").alias("text"), F.first("share").alias("share")).withColumn(
-        "half", F.pmod(F.shiftright("key", 32), F.lit(2)).cast("int")
-    )
+    draw = F.pmod(F.col("key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    drawn = marked.withColumn("share", share).where(draw < F.col("share"))
+    drawn = drawn.groupBy("key", "toxic").agg(F.min("doc_id").alias("doc_id"), F.first("share").alias("share"))
+    texts = rows.join(F.broadcast(drawn), ["doc_id", "key"])
+    # Rows that repeat an id and a text would come twice.
+    once = texts.groupBy("key", "toxic").agg(F.first("text").alias("text"), F.first("share").alias("share"))
+    return once.withColumn("half", F.pmod(F.shiftright("key", 32), F.lit(2)).cast("int"))
 
 
 def counted(rows: DataFrame, marks, column: str) -> DataFrame:
@@ -165,9 +171,11 @@ def counted(rows: DataFrame, marks, column: str) -> DataFrame:
     return exploded.groupBy(column).agg(count(1).alias("toxic_n"), count(0).alias("ordinary_n"))
 
 
-def learn(labelled: DataFrame, toxic: int = SAMPLE_TOXIC, ordinary: int = SAMPLE_ORDINARY) -> Model:
-    """A model from (text, toxic). Only counts and chosen words reach the driver."""
-    rows = materialise(sample(labelled, toxic, ordinary), "toxicity-sample")
+def learn(
+    documents: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, ordinary: int = SAMPLE_ORDINARY
+) -> Model:
+    """A model from (doc_id, text) and (doc_id, toxic). Only counts and chosen words reach the driver."""
+    rows = materialise(sample(documents, labels, toxic, ordinary), "toxicity-sample")
     sizes = {(r["toxic"], r["half"]): r["n"] for r in rows.groupBy("toxic", "half").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = {label: sizes.get((label, 0), 0) + sizes.get((label, 1), 0) for label in (0, 1)}
     if not total[0] or not total[1]:
