@@ -67,6 +67,12 @@ def test_arrays_shuffle_nothing_but_the_join(spark):
     assert "Aggregate" not in text and "Generate" not in text
 
 
+def test_opening_comments_are_found_among_positions(spark):
+    text = plan(threads.answer_bounds(S.tickets(spark, SF), S.comments(spark, SF)))
+    assert re.search(r"HashAggregate[\s\S]*partial_min\(pos", text)
+    assert "min_by" not in text and "max_by" not in text
+
+
 def test_newest_snapshot_prunes_partitions(spark):
     text = plan(QUERIES["s6_latest_snapshot"](spark, SF))
     assert re.search(r"PartitionFilters: \[.*snapshot_ts.* = .*[Ss]ubquery", text)

@@ -1,7 +1,7 @@
 """Comment threads: opening message, final answer, transcript.
 
-Opening and final comments are min_by/max_by aggregates, which shrink inside each task
-before the shuffle. A transcript is the whole thread as one text, so its group is one
+Opening and final comments are found by their positions, which are numbers and combine
+inside each task; only the chosen texts are fetched. A transcript is the whole thread as one text, so its group is one
 thread, however long; ``transcript_parts`` gives the same text in numbered parts.
 
 Threads that land as one array per ticket need none of this: ``assemble_arrays``
@@ -34,26 +34,13 @@ def public_bodies(comments: DataFrame) -> DataFrame:
     )
 
 
-def author_bounds(comments: DataFrame) -> DataFrame:
-    """First and last public text of every author in every thread.
-
-    Grouping by author as well as ticket spreads a very long thread over the
-    cluster, and leaves one row per (ticket_id, author_id) for the role join.
-    """
-    return (
-        public_bodies(comments)
-        .where(has_author())
-        .groupBy("ticket_id", "author_id")
-        .agg(
-            F.min_by("plain_body", "pos").alias("first_body"),
-            F.max_by("plain_body", "pos").alias("last_body"),
-        )
-    )
-
-
 def answer_bounds(tickets: DataFrame, comments: DataFrame) -> DataFrame:
     """(ticket_id, customer_issue, agent_resolution): first public comment of the
-    requester, last public comment of the assignee. Tickets with neither are absent."""
+    requester, last public comment of the assignee. Tickets with neither are absent.
+
+    Places are numbers and combine by hash inside each task; only the two chosen texts
+    of a ticket are moved and grouped.
+    """
     roles = tickets.select(
         "ticket_id",
         F.explode(
@@ -63,29 +50,42 @@ def answer_bounds(tickets: DataFrame, comments: DataFrame) -> DataFrame:
             )
         ).alias("r"),
     ).select("ticket_id", "r.role", "r.author_id")
-    return (
+    shown = public_bodies(comments).where(has_author())
+    bounds = shown.groupBy("ticket_id", "author_id").agg(
+        F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos")
+    )
+    place = F.when(F.col("role") == "requester", F.col("first_pos")).otherwise(F.col("last_pos"))
+    chosen = (
         roles.where(has_author())
-        .join(author_bounds(comments), ["ticket_id", "author_id"])
+        .join(bounds, ["ticket_id", "author_id"])
+        .select("ticket_id", "author_id", "role", place.alias("pos"))
+    )
+    texts = shown.select("ticket_id", "author_id", "pos", "plain_body")
+    return (
+        chosen.join(texts, ["ticket_id", "author_id", "pos"])
         .groupBy("ticket_id")
         .agg(
-            F.max(F.when(F.col("role") == "requester", F.col("first_body"))).alias("customer_issue"),
-            F.max(F.when(F.col("role") == "assignee", F.col("last_body"))).alias("agent_resolution"),
+            F.max(F.when(F.col("role") == "requester", F.col("plain_body"))).alias("customer_issue"),
+            F.max(F.when(F.col("role") == "assignee", F.col("plain_body"))).alias("agent_resolution"),
         )
     )
 
 
 def first_rows(comments: DataFrame, key: str = "ticket_id", order: str = "pos") -> DataFrame:
     """Whole first row per key: an aggregate, so no key is sorted in one task."""
-    return _bound_rows(comments, key, order, F.min_by)
+    return _bound_rows(comments, key, order, F.min, F.min_by)
 
 
 def last_rows(comments: DataFrame, key: str = "ticket_id", order: str = "pos") -> DataFrame:
-    return _bound_rows(comments, key, order, F.max_by)
+    return _bound_rows(comments, key, order, F.max, F.max_by)
 
 
-def _bound_rows(df: DataFrame, key: str, order: str, pick) -> DataFrame:
+def _bound_rows(df: DataFrame, key: str, order: str, bound, pick) -> DataFrame:
+    """The bound is found among numbers; whole rows are grouped only where they lie on it."""
+    places = df.groupBy(key).agg(bound(order).alias(order))
     rest = [c for c in df.columns if c != key]
-    return df.groupBy(key).agg(pick(F.struct(*rest), order).alias("r")).select(key, "r.*")
+    found = df.join(places, [key, order], "left_semi")
+    return found.groupBy(key).agg(pick(F.struct(*rest), order).alias("r")).select(key, "r.*")
 
 
 def _with_line(comments: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ def configure(builder: SparkSession.Builder, cores: int) -> SparkSession.Builder
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
         "spark.sql.files.maxPartitionBytes": "128m",
-        # Keep hash aggregation of text (listagg, min_by) longer before it sorts.
+        # Keep hash aggregation of text (listagg) longer before it sorts.
         "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
     }
     for name, value in settings.items():
