@@ -108,7 +108,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_substring_dedup")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    kept = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 @query("op10_toxicity")

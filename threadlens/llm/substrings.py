@@ -10,7 +10,7 @@ windows with the same route travels as one segment of text.
 3. Documents meet their remaining segments, whose texts are made distinct with weights.
 4. Each shard builds an FM-index of its segments; backward search over the wavelet matrix
    gives the windows that occur with weight two or more.
-5. The windows come back to their documents, and the words under them are removed.
+5. The windows come back to their documents; the words under them are cut out of the text.
 
 Routes may share hashes by chance; that only sends more segments. Windows are
 compared as words. A route with very many different segments is dealt again window by
@@ -19,7 +19,6 @@ window, so no shard grows with the data.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,11 +26,11 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from threadlens.llm.common import in_pieces, pick, raw_texts
+from threadlens.llm.common import in_pieces, pick, raw_texts, sha256_hex
 from threadlens.llm.fmindex import FMIndex
 from threadlens.sources.shared import materialise
 
@@ -182,7 +181,7 @@ def routes(documents: DataFrame) -> DataFrame:
 
 
 def packed(documents: DataFrame) -> DataFrame:
-    """(doc_id, d1, d2, n_words, whole_sha256, body): body is the compressed text."""
+    """(doc_id, d1, d2, n_words, body): body is the compressed text, null for a null one."""
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,26 +189,22 @@ def packed(documents: DataFrame) -> DataFrame:
         for batch in in_pieces(batches, "text", 4 * PIECE_BYTES):
             rows = []
             for text in raw_texts(batch.column("text")):
+                body = press.compress(text) if text is not None else None
                 text = text or b""
-                words = text.split()
-                sha = hashlib.sha256(b" ".join(words)).hexdigest()
-                rows.append((*digest_of(text), len(words), sha, press.compress(text)))
-            d1, d2, counts, shas, bodies = zip(*rows)
+                rows.append((*digest_of(text), len(text.split()), body))
+            d1, d2, counts, bodies = zip(*rows)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
                     pa.array(d1, pa.int64()),
                     pa.array(d2, pa.int64()),
                     pa.array(counts, pa.int64()),
-                    pa.array(shas, pa.string()),
                     pa.array(bodies, pa.binary()),
                 ],
-                ["doc_id", "d1", "d2", "n_words", "whole_sha256", "body"],
+                ["doc_id", "d1", "d2", "n_words", "body"],
             )
 
-    return documents.mapInArrow(
-        pack, f"doc_id {kind}, d1 long, d2 long, n_words long, whole_sha256 string, body binary"
-    )
+    return documents.mapInArrow(pack, f"doc_id {kind}, d1 long, d2 long, n_words long, body binary")
 
 
 def cut(words: list[bytes], segments: list[dict]) -> Iterator[tuple[int, int, bytes]]:
@@ -394,48 +389,86 @@ def mask_of(places: pd.Series) -> pd.Series:
     return places.map(one)
 
 
-def removed(rows: DataFrame) -> DataFrame:
-    """(doc_id, text, n_words, n_removed, kept_sha256) for texts with their masks."""
+def without(text: bytes, masks: list[dict]) -> tuple[bytes, list[dict]]:
+    """A text without the words under its masks, and these words as [first, end) ranges.
+
+    Each range goes with the white space up to the next word, so the rest stays as it was.
+    """
+    starts, _ = word_spans(np.frombuffer(text, np.uint8))
+    edges = np.zeros(len(starts) + 1, np.int64)
+    for m in masks:
+        hits = np.flatnonzero(np.unpackbits(np.frombuffer(m["mask"], np.uint8), bitorder="little"))
+        np.add.at(edges, (m["at"] >> 8) + hits, 1)
+        np.add.at(edges, (m["at"] >> 8) + hits + WINDOW, -1)
+    turns = np.diff(np.concatenate([[0], (np.cumsum(edges[:-1]) > 0).astype(np.int8), [0]]))
+    ranges = list(zip(np.flatnonzero(turns == 1).tolist(), np.flatnonzero(turns == -1).tolist()))
+    told = [{"first": first, "end": end} for first, end in ranges]
+    if ranges == [(0, len(starts))]:
+        return b"", told
+    parts, at = [], 0
+    for first, end in ranges:
+        parts.append(text[at : starts[first]])
+        at = int(starts[end]) if end < len(starts) else len(text)
+    return b"".join([*parts, text[at:]]), told
+
+
+RANGE_TYPE = pa.struct([("first", pa.int64()), ("end", pa.int64())])
+
+
+def kept_texts(rows: DataFrame) -> DataFrame:
+    """(doc_id, text, n_words, removed) of rows (doc_id, n_words, body, masks).
+
+    A text without masks is handed on byte for byte, a null one stays null.
+    """
     kind = rows.schema["doc_id"].dataType.simpleString()
 
-    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
-            kept_texts, counts, gone, shas = [], [], [], []
-            for part in batch.select(["body", "masks"]).to_pylist():
-                words = unpack.decompress(part["body"]).split()
-                edges = np.zeros(len(words) + 1, np.int64)
-                for m in part["masks"] or []:
-                    hits = np.flatnonzero(np.unpackbits(np.frombuffer(m["mask"], np.uint8), bitorder="little"))
-                    np.add.at(edges, (m["at"] >> 8) + hits, 1)
-                    np.add.at(edges, (m["at"] >> 8) + hits + WINDOW, -1)
-                covered = np.cumsum(edges[:-1]) > 0
-                kept = b" ".join([w for w, out in zip(words, covered.tolist()) if not out])
-                kept_texts.append(kept)
-                counts.append(len(words))
-                gone.append(int(covered.sum()))
-                shas.append(hashlib.sha256(kept).hexdigest())
-            yield pa.RecordBatch.from_arrays(
+
+        def told(batch: pa.RecordBatch, texts: list, ranges: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
-                    pa.array(counts, pa.int64()),
-                    pa.array(gone, pa.int64()),
-                    pa.array(shas, pa.string()),
+                    pa.array(texts, pa.binary()),
+                    batch.column("n_words"),
+                    pa.array(ranges, pa.list_(RANGE_TYPE)),
                 ],
-                ["doc_id", "n_words", "n_removed", "kept_sha256"],
+                ["doc_id", "text", "n_words", "removed"],
             )
 
-    return rows.select("doc_id", "body", "masks").mapInArrow(
-        remove, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string"
+        for batch in batches:
+            texts, ranges, size, begin = [], [], 0, 0
+            for row, (body, masks) in enumerate(zip(batch.column("body"), batch.column("masks"))):
+                text = unpack.decompress(body.as_py()) if body.is_valid else None
+                text, own = without(text, masks.as_py()) if masks.is_valid else (text, [])
+                texts.append(text)
+                ranges.append(own)
+                size += len(text or b"")
+                if size >= 4 * PIECE_BYTES:
+                    yield told(batch.slice(begin, row + 1 - begin), texts, ranges)
+                    texts, ranges, size, begin = [], [], 0, row + 1
+            if texts:
+                yield told(batch.slice(begin), texts, ranges)
+
+    kept = rows.select("doc_id", "n_words", "body", "masks").mapInArrow(
+        keep, f"doc_id {kind}, text binary, n_words long, removed array<struct<first: long, end: long>>"
     )
+    return kept.withColumn("text", F.col("text").cast("string"))
+
+
+def words_digest(text: Column) -> Column:
+    """SHA-256 of a text's words, joined by single spaces."""
+    return sha256_hex(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")))
 
 
 def remove_repeats(documents: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256) for every row of (doc_id, text).
+    """(doc_id, text, removed, n_words, n_removed, kept_sha256) for every row of (doc_id, text).
 
+    `text` is what is left, its white space as it was; `removed` has the [first, end) ranges
+    of the words taken out, in order. The counts and the digest follow from these.
     Null texts have no words and lose none; texts under 35 words lose none. Rows are
     told apart by their texts, never by id: of repeated rows and exact copies each loses
-    all its words, if it has 35. An empty table gives an empty result.
+    all its words, if it has 35. Null texts stay null. An empty table gives an empty result.
     """
     rows = pick(documents, "doc_id", "text")
     found = routes(rows)
@@ -454,10 +487,11 @@ def remove_repeats(documents: DataFrame, crowd: int = CROWD) -> DataFrame:
     )
     joined = packed(rows).join(segments.withColumn("segments", others), ["d1", "d2"], "left")
     busy = F.coalesce(F.size("segments") > 0, F.lit(False))
+    # Of a text with copies nothing is left; its body is only needed to send segments.
     joined = materialise(
         joined.withColumn("copies", F.coalesce("copies", F.lit(1)))
         .withColumn("segments", F.when(busy, F.col("segments")))
-        .withColumn("body", F.when(busy, F.col("body"))),
+        .withColumn("body", F.when(busy | (F.col("copies") == 1), F.col("body"))),
         "repeats-documents",
     )
     sent = joined.where(F.col("segments").isNotNull())
@@ -469,14 +503,18 @@ def remove_repeats(documents: DataFrame, crowd: int = CROWD) -> DataFrame:
     hit = segment_places(single).join(masks, ["s1", "s2"]).groupBy("d1", "d2").agg(
         F.collect_list(F.struct("at", "mask")).alias("masks")
     )
-    hit = materialise(hit, "repeats-hits")
-    changed = removed(single.join(hit, ["d1", "d2"]))
+    columns = ("doc_id", "n_words", "body", "masks")
+    changed = single.join(hit, ["d1", "d2"], "left").select(*columns)
+    untouched = joined.where(F.col("segments").isNull() & (F.col("copies") == 1))
+    untouched = untouched.withColumn("masks", F.lit(None).cast(hit.schema["masks"].dataType)).select(*columns)
     emptied = joined.where(F.col("copies") > 1).select(
         "doc_id",
+        F.lit("").alias("text"),
         "n_words",
-        F.col("n_words").alias("n_removed"),
-        F.sha2(F.lit("").cast("binary"), 256).alias("kept_sha256"),
+        F.array(F.struct(F.lit(0).cast("long").alias("first"), F.col("n_words").alias("end"))).alias("removed"),
+    )
+    kept = kept_texts(changed.unionByName(untouched)).unionByName(emptied)
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["first"])
+    return kept.select(
+        "doc_id", "text", "removed", "n_words", gone.alias("n_removed"), words_digest(F.col("text")).alias("kept_sha256")
     )
-    rest = joined.where(F.col("copies") == 1).join(hit.select("d1", "d2"), ["d1", "d2"], "left_anti")
-    untouched = rest.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("whole_sha256").alias("kept_sha256"))
-    return changed.unionByName(emptied).unionByName(untouched)
