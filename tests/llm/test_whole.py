@@ -1,8 +1,13 @@
 """What operators hand on besides digests and counts."""
 
+from collections import Counter, defaultdict
+
 import brute
 
-from threadlens.llm import substrings
+from threadlens.llm import mixing, substrings
+from threadlens.llm.queries import QUERIES
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_substrings_return_texts_and_ranges(spark):
@@ -32,3 +37,67 @@ def test_substrings_return_texts_and_ranges(spark):
         assert brute.words(r["text"]) == kept
         assert (r["n_words"], len(gone), brute.sha(" ".join(kept))) == expected
         assert (r["n_words"], r["n_removed"], r["kept_sha256"]) == expected
+
+
+def test_mix_is_made(spark):
+    """Slots are whole and in shards, spans lie in their documents, draws and words meet the targets."""
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    sizes = mixing.document_sizes(table)
+    targets = {r["source"]: r for r in mixing.source_targets(sizes).collect()}
+    slots = mixing.slots(mixing.source_targets(sizes), shard_slots=50)
+    # `used` bounds what a slot takes of its block; a source's last block is short.
+    size = {f"={source}": t["source_size"] for source, t in targets.items()}
+    held = lambda r: min(mixing.BLOCK_WORDS, size[r["key"]] - mixing.BLOCK_WORDS * r["block_index"])
+    used = {r["slot"]: (r["key"], min(r["used"], held(r)), r["shard"]) for r in slots.collect()}
+    assert sorted(used) == list(range(len(used))) and all(v[2] == k // 50 for k, v in used.items())
+    drawn = Counter()
+    shards = Counter()
+    for r in mixing.draws(slots).collect():
+        drawn[r["key"]] += r["n"]
+        shards[r["shard"]] += r["n"]
+    assert drawn == Counter(v[0] for v in used.values())
+    assert all(n == min(50, len(used) - 50 * shard) for shard, n in shards.items())
+    for source, t in targets.items():
+        words = sum(v[1] for v in used.values() if v[0] == f"={source}")
+        # A short last block, at most once an epoch, makes more slots than the words would fill.
+        assert 0 <= drawn[f"={source}"] - words / mixing.BLOCK_WORDS < mixing.MOST_EPOCHS + 1
+        assert abs(words - t["target"]) <= 0.5
+
+    texts = {r["doc_id"]: brute.words(r["text"]) for r in table.collect()}
+    spans = mixing.source_mix(table).collect()
+    filled, words, taken = defaultdict(list), Counter(), Counter()
+    for r in spans:
+        assert r["shard"] == r["slot"] // mixing.SHARD_SLOTS
+        assert 0 <= r["first_word"] and r["first_word"] + r["words"] <= len(texts[r["doc_id"]])
+        filled[r["slot"]].append((r["place"], r["words"]))
+        words[r["source"]] += r["words"]
+        taken[r["doc_id"]] += r["words"]
+    assert filled.keys() == used.keys()
+    for slot, own in filled.items():
+        own.sort()
+        assert [p for p, _ in own] == [sum(n for _, n in own[:i]) for i in range(len(own))]
+        assert sum(n for _, n in own) == used[slot][1]
+    for source, t in targets.items():
+        assert abs(words[source] - t["target"]) <= 0.5
+    assert {r["doc_id"]: r["taken"] for r in QUERIES["op7_source_mix"](spark, SF).collect()} == {k: taken[k] for k in texts}
+
+
+def test_queries_write_the_mix(spark, monkeypatch):
+    """The query and the pipeline's last stage make the ordered mix itself, not only its bookkeeping."""
+    import corpus_pipeline
+
+    written = {}
+    keep = mixing.materialise
+    monkeypatch.setattr(mixing, "materialise", lambda df, name: written.setdefault(name, keep(df, name)))
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    for run in (lambda: QUERIES["op7_source_mix"](spark, SF), lambda: corpus_pipeline.mix_sources(spark, table, SF)):
+        written.clear()
+        total = sum(r["taken"] for r in run().collect())
+        rows = written["mix"].collect()
+        assert {"shard", "slot", "place", "doc_id", "first_word", "words"} <= set(written["mix"].columns)
+        assert sum(r["words"] for r in rows) == total
+        parts = defaultdict(list)
+        for r, file in written["mix"].selectExpr("struct(slot, place) AS at", "input_file_name()").collect():
+            parts[file].append(tuple(r))
+        ordered = sorted(parts.values(), key=min)
+        assert [p for part in ordered for p in part] == sorted((r["slot"], r["place"]) for r in rows)

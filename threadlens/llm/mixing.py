@@ -172,29 +172,49 @@ def packed(placed: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
 
 
 def mix(pieces: DataFrame, slot_rows: DataFrame) -> DataFrame:
-    """The mix itself, as spans of documents: (shard, slot, place, doc_id, source, first_word, words)."""
+    """The mix as spans of documents: (shard, slot, place, doc_id, source, first_word, words, key, start, size).
+
+    A slot's spans in order of `place`, their first word in it, are its words. `start` and
+    `size` tell rows that repeat an id apart.
+    """
     taken = F.expr("least(place + words, used) - place")
+    # Slots grow with the data, which the planner cannot see behind the sequences.
     joined = pieces.join(slot_rows.hint("merge"), ["key", "block_index"]).withColumn("words", taken).where("words > 0")
-    return joined.select("shard", "slot", "place", "doc_id", "source", "start", "size", "key", "first_word", "words")
+    return joined.select("shard", "slot", "place", "doc_id", "source", "first_word", "words", "key", "start", "size")
+
+
+def written_mix(placed: DataFrame, targets: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
+    """The mix, written in order: files hold ranges of slots, each sorted by slot and place."""
+    spans = materialise(mix(packed(placed, block), slots(targets, block)), "mix-spans")
+    return materialise(spans.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place"), "mix")
+
+
+def source_mix(documents: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
+    """(shard, slot, place, doc_id, source, first_word, words, key, start, size): the mix of (doc_id, source, text).
+
+    Words first_word .. first_word + words - 1 of a document stand in a shard's slot from
+    `place` on. Reruns give the same rows.
+    """
+    sizes = materialise(document_sizes(documents), "mix-sizes")
+    return written_mix(placed_documents(sizes), source_targets(sizes), block)
 
 
 def mixed_documents(documents: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) for every document row.
 
-    `taken` counts the words the mix takes of a document, repeats included; as a block
-    is used at most twice, it is at most twice the size. Documents without words, null
+    `taken` sums a document's words in the mix, which is made first, repeats included; as a
+    block is used at most twice, it is at most twice the size. Documents without words, null
     texts among them, have size and taken 0. Of rows that repeat an id within a
     source each has a stretch of the stream of its own. Reruns give the same rows.
     """
     sizes = materialise(document_sizes(documents), "mix-sizes")
     targets = materialise(source_targets(sizes), "mix-targets")
-    placed = placed_documents(sizes)
-    pieces = packed(placed, block)
-    # Slots grow with the data, which the planner cannot see behind the sequences.
-    used = pieces.join(slots(targets, block).hint("merge"), ["key", "block_index"], "left")
-    words = F.expr("IF(used IS NULL, 0L, greatest(least(place + words, used) - place, 0L))")
-    taken = used.groupBy("key", "start", "doc_id", "size").agg(F.sum(words).alias("taken"))
-    empty = keyed(sizes.where("size = 0")).select("key", F.lit(0).cast("long").alias("start"), "doc_id", "size", F.lit(0).cast("long").alias("taken"))
-    return taken.unionByName(empty).join(keyed(targets), "key").select(
+    placed = materialise(placed_documents(sizes), "mix-placed")
+    taken = written_mix(placed, targets, block).groupBy("key", "start").agg(F.sum("words").alias("taken"))
+    # A start is one document's, but for documents without words.
+    rows = placed.where("size > 0").join(taken, ["key", "start"], "left")
+    rows = rows.select("key", "doc_id", "size", F.coalesce("taken", F.lit(0)).alias("taken"))
+    empty = keyed(sizes.where("size = 0")).select("key", "doc_id", "size", F.lit(0).cast("long").alias("taken"))
+    return rows.unionByName(empty).join(keyed(targets), "key").select(
         "doc_id", "source", "size", "source_size", "target", "taken"
     )
