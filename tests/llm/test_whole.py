@@ -1,10 +1,11 @@
 """What operators hand on besides digests and counts."""
 
+import random
 from collections import Counter, defaultdict
 
 import brute
 
-from threadlens.llm import mixing, substrings
+from threadlens.llm import mixing, substrings, toxicity
 from threadlens.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -101,3 +102,27 @@ def test_queries_write_the_mix(spark, monkeypatch):
             parts[file].append(tuple(r))
         ordered = sorted(parts.values(), key=min)
         assert [p for part in ordered for p in part] == sorted((r["slot"], r["place"]) for r in rows)
+
+
+def test_toxic_terms_inside_long_words(spark):
+    """Words of 30 three-byte characters: windows split no n-gram, terms far from the start reach the dictionary."""
+    word = bytes(range(128, 248))
+    held = [w[1] for w in toxicity.windows(word) if w[0] == 0]
+    for i in range(len(word) - toxicity.OVERLAP + 1):
+        gram = word[i : i + toxicity.OVERLAP]
+        assert any(b"".join(gram[k : k + 3] for k in range(len(gram) - 2)) in w for w in held)
+
+    draw = random.Random(3)
+    clause = lambda: "".join(chr(0x4E00 + draw.randrange(900)) for _ in range(30))
+    term = "\u9fa0\u9fa1\u9fa2\u9fa3"
+    docs, labels = [], []
+    for i in range(480):
+        own = [clause() for _ in range(4)]
+        if i % 3 == 0:
+            own[1] = own[1][:18] + term + own[1][22:]
+        docs.append((i, " ".join(own)))
+        labels.append((i, int(i % 3 == 0)))
+    rows = spark.createDataFrame(docs, "doc_id LONG, text STRING")
+    model = toxicity.learn(rows, spark.createDataFrame(labels, "doc_id LONG, toxic INT"))
+    raw = term.encode()
+    assert b"".join(raw[i : i + 3] for i in range(len(raw) - 2)) in model.toxic

@@ -7,7 +7,8 @@ is scored from its most telling windows.
 
 A window is a word, or its beginning, written as overlapping three-byte pieces with
 spaces around: so even a short word is long enough for one dictionary match to show in
-the compressed length. Longer runs are cut into several windows; no text is left out.
+the compressed length. Longer runs are cut into several windows that overlap by the longest
+n-gram; no text is left out.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ MOST_GRAMS, MOST_PASSAGES, MOST_ORDINARY = 5000, 2000, 3000
 OFTENER = 20  # times as large a share of toxic documents as of ordinary ones
 STEM = 5
 WINDOW_BYTES = 40
+OVERLAP = max(GRAMS)
 LEVEL = 1
 TELLING = 3
 CACHED_WORDS = 300_000
@@ -46,13 +48,19 @@ def expanded(word: bytes) -> bytes:
     return b"".join([padded[i : i + 3] for i in range(len(padded) - 2)])
 
 
-def windows(word: bytes) -> Iterator[tuple[int, bytes]]:
-    """(kind, bytes): the word in pieces of bounded length, and its stem."""
+def pieces(word: bytes) -> Iterator[bytes]:
+    """The word, or a long one in stretches that overlap."""
     if len(word) <= WINDOW_BYTES:
-        yield 0, expanded(word)
+        yield word
     else:
-        for start in range(0, len(word), WINDOW_BYTES):
-            yield 0, expanded(word[start : start + WINDOW_BYTES])
+        for start in range(0, len(word) - OVERLAP, WINDOW_BYTES - OVERLAP):
+            yield word[start : start + WINDOW_BYTES]
+
+
+def windows(word: bytes) -> Iterator[tuple[int, bytes]]:
+    """(kind, bytes): the word in pieces of bounded length, and its stem."""
+    for piece in pieces(word):
+        yield 0, expanded(piece)
     if len(word) > STEM:
         yield 1, expanded(word[:STEM])
 
@@ -64,6 +72,22 @@ def word_grams(word: bytes) -> Iterator[bytes]:
             yield padded[i : i + n]
 
 
+def stretches(word: bytes, chosen: frozenset[bytes]) -> set[bytes]:
+    """The word if it has a chosen gram; of a long one what is around such grams."""
+    if len(word) <= WINDOW_BYTES:
+        return {word} if any(g in chosen for g in word_grams(word)) else set()
+    padded = b" " + word + b" "
+    out, end = set(), 0
+    for i in range(len(padded)):
+        size = max((n for n in GRAMS if padded[i : i + n] in chosen), default=0)
+        if size and min(i - 1 + size, len(word)) > end:
+            middle = i - 1 + size // 2
+            first = max(0, min(middle - WINDOW_BYTES // 2, len(word) - WINDOW_BYTES))
+            end = first + WINDOW_BYTES
+            out.add(word[first:end])
+    return out
+
+
 @dataclass(frozen=True)
 class Model:
     """Dictionaries with calibrated cells; without both classes only a constant."""
@@ -193,16 +217,15 @@ def learn(
     chosen = frozenset(bytes(r["gram"]) for r in typical.select("gram").collect())
 
     def telling_words(text: bytes | None) -> list[bytes]:
-        return [w for w in set(folded_words(text)) if any(g in chosen for g in word_grams(w))]
+        return list({s for w in set(folded_words(text)) for s in stretches(w, chosen)})
 
     def most(table: DataFrame, count: str, limit: int) -> list[bytes]:
         top = table.orderBy(F.desc(count), "word").limit(limit).select("word").collect()
-        return [bytes(r["word"])[:WINDOW_BYTES] for r in top]
+        return [bytes(r["word"]) for r in top]
 
     passages = most(counted(first.where("toxic = 1"), telling_words, "word"), "toxic_n", MOST_PASSAGES)
-    plain = most(
-        counted(first.where("toxic = 0"), lambda text: list(set(folded_words(text))), "word"), "ordinary_n", MOST_ORDINARY
-    )
+    all_words = lambda text: list({s for w in set(folded_words(text)) for s in pieces(w)})
+    plain = most(counted(first.where("toxic = 0"), all_words, "word"), "ordinary_n", MOST_ORDINARY)
     # What is frequent stands last, where offsets are short.
     sheet = lambda words: b"".join(expanded(w) for w in reversed(words)).rjust(64, b" ")
     bare = Model(sheet(passages), sheet(plain))
