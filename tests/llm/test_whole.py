@@ -4,8 +4,9 @@ import random
 from collections import Counter, defaultdict
 
 import brute
+import numpy as np
 
-from threadlens.llm import mixing, substrings, toxicity
+from threadlens.llm import langid, mixing, substrings, toxicity
 from threadlens.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -126,3 +127,27 @@ def test_toxic_terms_inside_long_words(spark):
     model = toxicity.learn(rows, spark.createDataFrame(labels, "doc_id LONG, toxic INT"))
     raw = term.encode()
     assert b"".join(raw[i : i + 3] for i in range(len(raw) - 2)) in model.toxic
+
+
+def test_every_language_is_learned(spark):
+    """More labels than 256, the rare ones too, each with letters of its own."""
+    draw = random.Random(5)
+    rows = []
+    for k in range(270):
+        letters = [chr(0x4E00 + 40 * k + i) for i in range(40)]
+        for n in range(4 if k < 260 else 2):
+            rows.append((f"l{k:03}", "".join(draw.choice(letters) for _ in range(60)), n))
+    table = spark.createDataFrame(rows, "lang STRING, text STRING, doc_id INT").coalesce(2)
+    model = langid.learn(table.where("doc_id > 0").select("text", "lang"))
+    assert model.languages == sorted({r[0] for r in rows})
+    found = langid.identify(table.where("doc_id = 0").withColumnRenamed("lang", "want"), model, keep=("want",)).collect()
+    assert sum(r["lang_pred"] == r["want"] for r in found) >= 0.97 * len(found) == 0.97 * 270
+
+
+def test_each_language_keeps_its_grams():
+    """Grams of one rich language do not push out those of the rest."""
+    draw = np.random.default_rng(1)
+    rich = [np.unique(draw.integers(0, 30_000, 20_000)) for _ in range(48)]
+    poor = [np.unique(1_000_000 + draw.integers(0, 400, 100)) for _ in range(48)]
+    grams = langid.chosen_grams([rich, poor])
+    assert len(grams) == langid.ALL_GRAMS and (grams >= 1_000_000).sum() > 390

@@ -21,9 +21,10 @@ from threadlens.llm.common import in_pieces, pick
 
 UNDETERMINED = "und"
 SAMPLE_PER_LANGUAGE = 400  # expected training rows a language; the documented bound
-LANDMARKS_PER_LANGUAGE = 48
-MOST_LANGUAGES = 256
-MOST_GRAMS = 12_000
+LANDMARKS_PER_LANGUAGE = 48  # fewer from about 90 languages on, see MOST_CELLS
+ALL_GRAMS = 12_000  # up to so many grams all are kept; of more, each language keeps its share
+LEAST_GRAMS = 150  # a language's share at least
+MOST_CELLS = 64_000_000  # grams times landmarks
 RIDGE = 1e-3
 PIECE_BYTES = 1_500_000
 DENSE_ROWS = 256
@@ -54,8 +55,9 @@ class Model:
     weights: np.ndarray
 
     def lookup(self) -> np.ndarray:
-        places = np.full(TABLE_SIZE, -1, np.int16)
-        places[self.grams] = np.arange(len(self.grams), dtype=np.int16)
+        kind = np.int16 if len(self.grams) < 1 << 15 else np.int32
+        places = np.full(TABLE_SIZE, -1, kind)
+        places[self.grams] = np.arange(len(self.grams), dtype=kind)
         return places
 
     def scores(self, presence: np.ndarray) -> np.ndarray:
@@ -71,34 +73,70 @@ def kernel(presence: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
     return (normalised(presence) @ landmarks).astype(np.float64)
 
 
+def chosen_grams(rows_of: list[list[np.ndarray]]) -> np.ndarray:
+    """Codes to tell languages by, from the landmarks' codes of each language.
+
+    Grams that fewer than two landmarks have are left out, if there are over eight landmarks
+    and the language has three. Of more than `ALL_GRAMS` each language keeps its commonest, as
+    many for each, and the commonest of all fill up what is left.
+    """
+    codes, counts = np.unique(np.concatenate([own for rows in rows_of for own in rows]), return_counts=True)
+    usable = counts >= (2 if sum(map(len, rows_of)) > 8 else 1)
+    for rows in rows_of:
+        if len(rows) < 3:
+            usable[np.searchsorted(codes, np.concatenate(rows))] = True
+    usable = np.flatnonzero(usable)
+    if len(usable) <= ALL_GRAMS:
+        return codes[usable]
+    share = max(LEAST_GRAMS, ALL_GRAMS // len(rows_of))
+    taken = np.zeros(len(codes), bool)
+    for rows in rows_of:
+        own, n = np.unique(np.concatenate(rows), return_counts=True)
+        places = np.searchsorted(codes, own)
+        known = np.isin(places, usable, assume_unique=True)
+        places, n = places[known], n[known]
+        taken[places[np.argsort(-n, kind="stable")][:share]] = True
+    rest = usable[~taken[usable]]
+    rest = rest[np.argsort(-counts[rest], kind="stable")]
+    taken[rest[: max(0, ALL_GRAMS - int(taken.sum()))]] = True
+    return codes[taken]
+
+
 def fit(languages: list[str], grams_of: list[np.ndarray], labels: list[str]) -> Model:
     """Fit on the distinct gram codes of a bounded sample.
 
-    Landmarks are the first rows of each language in the given order. Grams that fewer
-    than two landmarks have are left out, if there are over eight landmarks; beyond `MOST_GRAMS`, the most common stay.
+    Landmarks are the first rows of each language in the given order.
     """
     labels_ = np.array([languages.index(x) for x in labels], dtype=np.int64)
-    chosen = np.concatenate(
-        [np.flatnonzero(labels_ == k)[:LANDMARKS_PER_LANGUAGE] for k in range(len(languages))]
-    )
-    codes, counts = np.unique(np.concatenate([grams_of[i] for i in chosen]), return_counts=True)
-    common = np.flatnonzero(counts >= (2 if len(chosen) > 8 else 1))
-    common = common[np.argsort(-counts[common], kind="stable")][:MOST_GRAMS]
-    grams = np.sort(codes[common])
-    presence = np.zeros((len(labels_), len(grams)), np.float32)
-    for row, own in enumerate(grams_of):
-        presence[row, np.isin(grams, own, assume_unique=True)] = 1
-    landmarks = normalised(presence[chosen]).T.copy()
-    among = kernel(presence[chosen], landmarks)
+    count = len(languages)
+    each = max(1, min(LANDMARKS_PER_LANGUAGE, MOST_CELLS // (count * max(ALL_GRAMS, LEAST_GRAMS * count))))
+    chosen = [np.flatnonzero(labels_ == k)[:each] for k in range(count)]
+    grams = chosen_grams([[grams_of[i] for i in own] for own in chosen])
+
+    def presence_of(rows) -> np.ndarray:
+        presence = np.zeros((len(rows), len(grams)), np.float32)
+        for place, row in enumerate(rows):
+            presence[place, np.isin(grams, grams_of[row], assume_unique=True)] = 1
+        return presence
+
+    marked = presence_of(np.concatenate(chosen))
+    landmarks = normalised(marked).T.copy()
+    among = kernel(marked, landmarks)
     values, vectors = np.linalg.eigh((among + among.T) / 2)
     kept = values > 1e-6 * max(values.max(), 1e-12)
     root = vectors[:, kept] / np.sqrt(values[kept])
-    features = kernel(presence, landmarks) @ root
-    targets = np.eye(len(languages))[labels_]
     # Each language weighs the same, whatever its share of the sample.
-    weigh = (1 / np.maximum(np.bincount(labels_, minlength=len(languages)), 1))[labels_][:, None]
-    gram = (features * weigh).T @ features + RIDGE * np.eye(features.shape[1])
-    return Model(languages, grams, landmarks, root @ np.linalg.solve(gram, (features * weigh).T @ targets))
+    weigh = (1 / np.maximum(np.bincount(labels_, minlength=count), 1))[labels_][:, None]
+    gram = RIDGE * np.eye(root.shape[1])
+    wanted = np.zeros((root.shape[1], count))
+    step = max(DENSE_ROWS, MOST_CELLS // max(1, len(grams)))
+    for start in range(0, len(labels_), step):
+        rows = np.arange(start, min(start + step, len(labels_)))
+        features = kernel(presence_of(rows), landmarks) @ root
+        weighed = (features * weigh[rows]).T
+        gram += weighed @ features
+        wanted += weighed @ (labels_[rows][:, None] == np.arange(count))
+    return Model(languages, grams, landmarks, root @ np.linalg.solve(gram, wanted))
 
 
 def has_letter(text: Column) -> Column:
@@ -109,15 +147,13 @@ def training_rows(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE)
     """Gram codes of about `per_language` rows of each language of (text, lang).
 
     Rows are drawn by a hash of the text, at a rate from the language's row count, so the
-    sample is the same in every run and no window over a language is needed. Of more
-    than `MOST_LANGUAGES` languages the commonest are learned. Only distinct codes
-    leave the tasks, never texts.
+    sample is the same in every run and no window over a language is needed. Every
+    language with a row is learned. Only distinct codes leave the tasks, never texts.
     """
     usable = labelled.where(F.col("lang").isNotNull() & has_letter(F.col("text")))
     drawn = F.pmod(F.xxhash64(F.lit("language sample"), "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     usable = usable.withColumn("draw", drawn)
     sizes = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("draw").alias("least"))
-    sizes = sizes.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
     sampled = usable.join(F.broadcast(sizes), "lang").where(
         (F.col("draw") < F.lit(float(per_language)) / F.col("n")) | (F.col("draw") == F.col("least"))
     )
