@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import brute
 import numpy as np
 
-from threadlens.llm import langid, mixing, substrings, toxicity
+from threadlens.llm import langid, mixing, quality, substrings, toxicity
 from threadlens.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -151,3 +151,14 @@ def test_each_language_keeps_its_grams():
     poor = [np.unique(1_000_000 + draw.integers(0, 400, 100)) for _ in range(48)]
     grams = langid.chosen_grams([rich, poor])
     assert len(grams) == langid.ALL_GRAMS and (grams >= 1_000_000).sum() > 390
+
+
+def test_ablations_over_all_documents(spark):
+    policy = quality.POLICIES["default-1"]
+    bits = [r["failed"] & quality.mask_of(policy) for r in QUERIES["op9_quality"](spark, SF).collect()]
+    got = {r["rule"]: (r["n_failed"], r["n_failed_alone"], r["n_kept_without"]) for r in QUERIES["op9_quality_ablations"](spark, SF).collect()}
+    want = {}
+    for name in policy:
+        bit = quality.mask_of([name])
+        want[name] = (sum(b & bit != 0 for b in bits), sum(b == bit for b in bits), sum(b & ~bit == 0 for b in bits))
+    assert got == want and any(n for n, _, _ in want.values())

@@ -106,6 +106,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op9_quality_ablations")
+def op9_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.ablations(quality.ledger(table(spark, sf_dir, "documents")), quality.POLICIES["default-1"])
+
+
 @query("op3_substring_dedup")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substrings.remove_repeats(table(spark, sf_dir, "documents"))
