@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import brute
 import numpy as np
 
-from threadlens.llm import langid, mixing, quality, substrings, toxicity
+from threadlens.llm import decontaminate, langid, mixing, quality, substrings, toxicity
 from threadlens.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -162,3 +162,38 @@ def test_ablations_over_all_documents(spark):
         bit = quality.mask_of([name])
         want[name] = (sum(b & bit != 0 for b in bits), sum(b == bit for b in bits), sum(b & ~bit == 0 for b in bits))
     assert got == want and any(n for n, _, _ in want.values())
+
+
+def test_long_items_in_parts(spark):
+    """An item of more words than there are codes; parts have all windows and no shorter ones."""
+    words = [b"w%d" % i for i in range(100)]
+    for limit in (1, 60, 200, 10_000):
+        parts = [p.split() for p in decontaminate.item_parts(b" ".join(words), limit)]
+        windows = [tuple(p[i : i + 13]) for p in parts for i in range(len(p) - 12)]
+        assert windows == [tuple(words[i : i + 13]) for i in range(88)]
+        assert all(len(p) >= 13 for p in parts)
+
+    most = 0x10FFFF - decontaminate.FIRST_CODE + 1
+    long = " ".join(map(str, range(most + 1000)))
+    items = spark.createDataFrame([(7, long), (8, "other words")], "item_id LONG, text STRING")
+    cut = " ".join(map(str, range(most + 980, most + 993)))
+    docs = [(1, f"before {cut} after"), (2, "none of it"), (3, " ".join(map(str, range(12)))), (4, "other words")]
+    got = decontaminate.find_contamination(spark.createDataFrame(docs, "doc_id LONG, text STRING"), items)
+    assert sorted((r["doc_id"], r["n_hit"], r["item_ids"]) for r in got.collect()) == [
+        (1, 13, [7]), (2, 0, []), (3, 0, []), (4, 2, [8])
+    ]
+
+
+def test_blocks_are_released(spark, monkeypatch):
+    """Many blocks: what is found is written on the way and equals the scan in one block."""
+    written = []
+    keep = decontaminate.materialise
+    monkeypatch.setattr(decontaminate, "materialise", lambda df, name: (written.append(name), keep(df, name))[1])
+    items = [(i, " ".join(f"i{i}w{k}" for k in range(20))) for i in range(6)]
+    docs = [(i, f"text {text[3:]}") for i, text in items] + [(9, items[0][1] + " and " + items[5][1]), (10, None)]
+    bench = spark.createDataFrame(items, "item_id LONG, text STRING")
+    rows = spark.createDataFrame(docs, "doc_id LONG, text STRING")
+    columns = ("doc_id", "n_words", "n_hit", "item_ids", "hits", "contaminated")
+    found = lambda block: sorted(map(repr, decontaminate.find_contamination(rows, bench, block).select(*columns).collect()))
+    one, many = found(1_000_000), found(200)
+    assert one == many and "benchmark-hits" in written

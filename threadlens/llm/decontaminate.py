@@ -14,6 +14,7 @@ from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +24,8 @@ from threadlens.sources.shared import materialise
 WINDOW = 13
 ONE_IN = 20
 BLOCK_BYTES = 1_000_000
-FIRST_CODE, LAST_CODE = 0xE000, 0x10FFFF
+BLOCKS_AT_ONCE = 4
+FIRST_CODE = 0xE000  # a block of items has fewer words than there are codes above
 STOP = "\x00"
 
 #: Bytes of words: digits, letters and everything beyond ASCII; A-Z become a-z.
@@ -90,23 +92,43 @@ def _ready(items: Items) -> Index:
     return Index(items)
 
 
+def item_parts(text: bytes, limit: int) -> Iterator[bytes]:
+    """A text of at most `limit` bytes, or parts of a longer one that have all of its windows.
+
+    Parts share all but one word of a window, and none is shorter than a window, which
+    would make it a window of its own.
+    """
+    words = folded_words(text) if len(text) > limit else []
+    if len(words) <= WINDOW:
+        yield text
+        return
+    start = end = 0
+    while end < len(words):
+        end, size = start, 0
+        while end < len(words) and (end - start < WINDOW or size + len(words[end]) < limit):
+            size += len(words[end]) + 1
+            end += 1
+        yield b" ".join(words[start:end])
+        start = end - WINDOW + 1
+
+
 def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[Items]:
     """The distinct (item_id, text) of a benchmark in blocks of bounded text.
 
     A block bounds what the driver holds and a task receives; a benchmark of any size
     is a sequence of blocks, each scanned against all documents. Usually it is one.
-    A text longer than a block is a block by itself.
+    A text longer than a block comes in parts under the same item_id.
     """
     items = pick(benchmark, "item_id", "text").where(F.col("text").isNotNull()).distinct()
     held: list[tuple[int | None, bytes]] = []
     size = 0
     for row in materialise(items, "benchmark-items").toLocalIterator():
-        text = row["text"].encode("utf-8")
-        if held and size + len(text) > block_bytes:
-            yield tuple(sorted(held, key=repr))
-            held, size = [], 0
-        held.append((row["item_id"], text))
-        size += len(text)
+        for text in item_parts(row["text"].encode("utf-8"), block_bytes):
+            if held and size + len(text) > block_bytes:
+                yield tuple(sorted(held, key=repr))
+                held, size = [], 0
+            held.append((row["item_id"], text))
+            size += len(text)
     yield tuple(sorted(held, key=repr))
 
 
@@ -114,12 +136,11 @@ PLACE = "struct<first_word long, end_word long, first_byte long, end_byte long>"
 PLACE_TYPE = pa.struct([(n, pa.int64()) for n in ("first_word", "end_word", "first_byte", "end_byte")])
 
 
-def scan(rows: DataFrame, items: Items, keep: tuple[str, ...] = ()) -> DataFrame:
+def scan(rows: DataFrame, sent: Broadcast[Items], keep: tuple[str, ...] = ()) -> DataFrame:
     """Scan (doc_id, text, hits, item_ids) against one block, adding to hits and item_ids.
 
     hits holds merged word ranges with their byte offsets in the original text.
     """
-    sent = rows.sparkSession.sparkContext.broadcast(items)
     carried = ", ".join(f"{name} {rows.schema[name].dataType.simpleString()}" for name in ("doc_id", "text", *keep))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,11 +190,18 @@ def find_contamination(
     Repeated rows each give a row. With an empty benchmark nothing is hit.
     """
     found = pick(documents, "doc_id", "text", *keep)
+    sent: list[Broadcast[Items]] = []
     for items in item_blocks(benchmark, block_bytes):
+        if len(sent) == BLOCKS_AT_ONCE:
+            # What is found so far is written, so that its blocks can go.
+            found = materialise(found.select("doc_id", "text", *keep, "hits", "item_ids"), "benchmark-hits")
+            while sent:
+                sent.pop().destroy()
+        sent.append(documents.sparkSession.sparkContext.broadcast(items))
         if "hits" not in found.columns:
             nothing = {"hits": F.array().cast(f"array<{PLACE}>"), "item_ids": F.array().cast("array<long>")}
             found = found.withColumns(nothing)
-        found = scan(found.select("doc_id", "text", *keep, "hits", "item_ids"), items, keep)
+        found = scan(found.select("doc_id", "text", *keep, "hits", "item_ids"), sent[-1], keep)
     covered = F.aggregate("hits", F.lit(0).cast("long"), lambda n, h: n + h["end_word"] - h["first_word"])
     return found.select(
         "doc_id",
