@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlens.llm import chat, decontaminate, langid, mixing, quality, secrets, simhash, substrings, token_counts, toxicity
+from threadlens.llm import chat, decontaminate, langid, mixing, packing, quality, secrets, simhash, substrings, token_counts, toxicity
 from threadlens.llm.common import pick, sha256_hex, table
 from threadlens.llm.oracles import ORACLE  # noqa: F401
 
@@ -124,3 +124,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = langid.held_out(F.col("doc_id"), 5, 0)
     scored = toxicity.score(documents, toxicity.learn(documents.where(~out), labels))
     return scored.select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
+@query("op11_mixture_packing")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.packed(table(spark, sf_dir, "documents"), packing.vocabulary_path())
+    crc = F.crc32("ids").alias("ids_crc32")
+    return pieces.select("doc_id", "start", "length", crc, "doc_tokens", "sequence_id", "offset")
