@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlens.llm import chat, decontaminate, langid, mixing, packing, quality, secrets, simhash, substrings, token_counts, toxicity
+from threadlens.llm import chat, decontaminate, langid, lexical, mixing, packing, quality, secrets, simhash, substrings, token_counts, toxicity
 from threadlens.llm.common import pick, sha256_hex, table
 from threadlens.llm.oracles import ORACLE  # noqa: F401
 
@@ -131,3 +131,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.packed(table(spark, sf_dir, "documents"), packing.vocabulary_path())
     crc = F.crc32("ids").alias("ids_crc32")
     return pieces.select("doc_id", "start", "length", crc, "doc_tokens", "sequence_id", "offset")
+
+
+@query("op13_lexical_search")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
