@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlens.llm import chat, decontaminate, langid, lexical, mixing, packing, quality, secrets, simhash, substrings, token_counts, toxicity
+from threadlens.llm import chat, decontaminate, langid, lexical, mixing, packing, quality, secrets, simhash, spelling, substrings, token_counts, toxicity
 from threadlens.llm.common import pick, sha256_hex, table
 from threadlens.llm.oracles import ORACLE  # noqa: F401
 
@@ -136,3 +136,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_lexical_search")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_spelling_variants")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
