@@ -1,7 +1,9 @@
 """Plain versions of what the queries compute, written apart from the operators."""
 
 import hashlib
+import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import xxhash
@@ -132,3 +134,65 @@ def targets(sizes):
         left -= sum(2 * sizes[s] for s in over)
         open_ = [s for s in open_ if s not in out]
     return out
+
+
+TERMS = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def ranking(documents, items, top=10):
+    """(item_id, rank, doc_id, score), every document scored for every item."""
+    bags = [(d, Counter(TERMS.findall((t or "").translate(UPPER)))) for d, t in documents]
+    bags = [(d, bag, sum(bag.values())) for d, bag in bags if bag]
+    count, length = len(bags), sum(n for *_, n in bags)
+    df = Counter(t for _, bag, _ in bags for t in bag)
+    out = []
+    for item, text in items:
+        scores = []
+        for d, bag, n in bags:
+            m, score = 25 + (75 * n * count) // length, 0
+            for term, times in Counter(TERMS.findall((text or "").translate(UPPER))).items():
+                if tf := bag[term]:
+                    w = math.floor(1000 * math.log((2 * count + 2) / (2 * df[term] + 1)))
+                    score += times * w * ((10**9 * tf) // (1000 * tf + 8 * m))
+            if score > 0:
+                scores.append((-score, d is None, d))
+        scores.sort(key=lambda s: (*s[:2], s[2] or 0))
+        out += [(item, i + 1, d, -s) for i, (s, _, d) in enumerate(scores[:top])]
+    return sorted(out, key=repr)
+
+
+LETTERS = re.compile("[A-Za-zÀ-ÿ]+")
+
+
+def spellings(documents):
+    """(word, form, root, n, n_near, form_n), near words by the texts that one left-out character gives."""
+    counts = Counter()
+    for d, text in documents:
+        for run in LETTERS.findall(text or ""):
+            run = run.translate(UPPER)
+            h = zlib.crc32(f"{'' if d is None else d}:{run}".encode())
+            if h % 97 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            counts[run] += 1
+    own = {w: n for w, n in counts.items() if len(w) >= 5 and n >= 3}
+    near, replaced = defaultdict(set), defaultdict(set)
+    for w in own:
+        for i in range(len(w)):
+            replaced[w[:i], w[i + 1 :]].add(w)
+            if (x := w[:i] + w[i + 1 :]) in own:
+                near[x].add(w)
+                near[w].add(x)
+    for group in replaced.values():
+        for w in group:
+            near[w] |= group - {w}
+    form = {}
+    for w, n in own.items():
+        best = min(((-own[x], x) for x in near[w]), default=None)
+        form[w] = best[1] if best and -best[0] >= 2 * n else None
+    out = []
+    for w, n in own.items():
+        root = w
+        while form[root]:
+            root = form[root]
+        out.append((w, form[w], root, n, len(near[w]), own[form[w]] if form[w] else None))
+    return sorted(out)
