@@ -1,4 +1,6 @@
-"""Batch enrichment and the offline baselines."""
+"""Batch enrichment, the whole model run and the offline baselines."""
+
+import json
 
 from pyspark.sql import functions as F
 
@@ -16,9 +18,11 @@ from checks.registry import (
 from threadlens import standins as S
 from threadlens.functions import prompts
 from threadlens.operators.baselines import compare, entities, recommend, retrieval, sentiment, summary, themes
-from threadlens.operators.enrich import enrich, offline_client
+from threadlens.operators.enrich import enrich, offline_client, with_retries
+from threadlens.operators.reading import read_threads
 from threadlens.operators.threads import assemble_threads
-from threadlens.plans.analyse import analyse_offline
+from threadlens.plans import analyse
+from threadlens.plans.analyse import analyse_offline, analyse_with_clients
 from threadlens.sources import shared
 
 # --- enrichment --------------------------------------------------------------
@@ -49,7 +53,8 @@ _ASKED = f"""q AS (SELECT doc_id, CASE WHEN lang <> 'es' THEN {lit(prompts.SENTI
     f"WITH {_ASKED} SELECT doc_id, CASE WHEN prompt IS NOT NULL THEN {_REPLY} END AS response, {_STATUS} AS status FROM q",
 )
 def u1(spark, d):
-    return enrich(_questions(spark, d), _client(), parallelism=4).select("doc_id", "response", "status")
+    done = enrich(_questions(spark, d), _client(), shared.new_path(spark, "replies"), range_prompts=20)
+    return done.select("doc_id", "response", "status")
 
 
 @query(
@@ -59,8 +64,8 @@ def u1(spark, d):
 def u1_store(spark, d):
     store = shared.new_path(spark, "replies")
     rows = _questions(spark, d)
-    enrich(rows.where(F.col("prompt").contains("en ")), _client(), parallelism=4, store=store)
-    done = enrich(rows, _client(), parallelism=4, store=store)
+    enrich(rows.where(F.col("prompt").contains("en ")), _client(), store, calls_per_task=2)
+    done = enrich(rows, with_retries(_client(), waits=(0.0, 0.0)), store)
     return done.select("doc_id", "response", "status")
 
 
@@ -69,7 +74,7 @@ def u1_store(spark, d):
     f"WITH {_ASKED} SELECT doc_id, 'ValueError: no reply for src7' AS error FROM q WHERE contains(prompt, 'src7')",
 )
 def u2(spark, d):
-    done = enrich(_questions(spark, d), _client(), parallelism=4)
+    done = enrich(_questions(spark, d), _client(), shared.new_path(spark, "replies"))
     return done.where(F.col("status") == "error").select("doc_id", "error")
 
 
@@ -337,3 +342,109 @@ def full_run(spark, d):
         S.tickets(spark, d), S.comments(spark, d), S.knowledge(spark, d),
         lexicon(spark), theme_terms(spark), gazetteer(spark),
     )
+
+
+# --- the whole run with clients ----------------------------------------------
+
+_ASKS = [("und", None), ("que", "Read article 7.")]
+_FEELS = [("und", None), ("que", "Sentiment: Angry\nExplanation: tone")]
+_JUDGES = [("und", "{bad"), ("que", '{"bot_correct": "Yes", "bot_correct_reason": "same"}')]
+_READS = [
+    ("und", "{bad"),
+    ("que", '{"summary": "About que", "self_service_possible": "No", "self_service_reason": "r", "self_service_recommendation": "w"}'),
+]
+_PLAIN = '{"summary": "Plain case", "self_service_possible": "Yes", "self_service_reason": "r"}'
+
+
+def _theme_client():
+    def client(prompt):
+        summaries = json.loads(prompt.split("Summaries:\n\n")[1])
+        return json.dumps({key: "Spanish" if "que" in text else "Other" for key, text in summaries.items()})
+
+    return client
+
+
+def run_clients():
+    return {
+        "bot": offline_client(_ASKS, "Read the manual."),
+        "sentiment": offline_client(_FEELS, "no label"),
+        "comparison": offline_client(_JUDGES, '{"bot_correct": "No"}'),
+        "parts": offline_client([], "part"),
+        "analysis": offline_client(_READS, _PLAIN),
+        "recommendation": offline_client([], "  Write an article \n"),
+        "themes": lambda: _theme_client(),
+        "theme_merge": offline_client([], "{}"),
+    }
+
+
+_MODEL_RUN = f"""WITH {THREADS},
+asked AS (SELECT *, CASE WHEN coalesce(customer_issue, '') = '' THEN 'skipped' WHEN contains(customer_issue, 'und') THEN 'error' ELSE 'ok' END AS call FROM threads),
+answered AS (SELECT *,
+    CASE call WHEN 'skipped' THEN 'N/A - No customer comment found.' WHEN 'error' THEN 'Error querying the chatbot: ValueError: no reply for und'
+      ELSE CASE WHEN contains(customer_issue, 'que') THEN 'Read article 7.' ELSE 'Read the manual.' END END AS bot_answer,
+    call = 'ok' AND coalesce(agent_resolution, '') <> '' AS compared,
+    CASE WHEN comment_count = 0 THEN 'empty' WHEN contains(transcript, 'und') THEN 'bad' WHEN contains(transcript, 'que') THEN 'que' ELSE 'plain' END AS kind
+  FROM asked)
+SELECT ticket_id, CAST(assignee_id AS VARCHAR) AS assignee_id, strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') AS created_at,
+  CASE kind WHEN 'empty' THEN 'Ticket has no content.' WHEN 'bad' THEN '' WHEN 'que' THEN 'About que' ELSE 'Plain case' END AS summary,
+  CASE kind WHEN 'empty' THEN 'Error processing ticket: No content' WHEN 'bad' THEN 'Error processing ticket: Failed to decode JSON from the reply.'
+    WHEN 'que' THEN 'Self Service Possible?: No' || chr(10) || chr(10) || 'Reason:' || chr(10) || 'r' || chr(10) || 'Recommendation: w'
+    ELSE 'Self Service Possible?: Yes' || chr(10) || chr(10) || 'Reason:' || chr(10) || 'r' END AS self_service_analysis,
+  bot_answer,
+  CASE WHEN NOT compared THEN 'N/A' WHEN contains(agent_resolution, 'und') THEN 'N/A' WHEN contains(agent_resolution, 'que') THEN 'Yes' ELSE 'No' END AS bot_correct,
+  CASE WHEN coalesce(agent_resolution, '') = '' THEN 'N/A - No agent resolution found.' WHEN NOT compared THEN 'N/A'
+    WHEN contains(agent_resolution, 'und') THEN 'Failed to decode JSON from the reply.' WHEN contains(agent_resolution, 'que') THEN 'same'
+    ELSE 'Error parsing reason' END AS bot_correct_reason,
+  CASE kind WHEN 'bad' THEN 'N/A' WHEN 'que' THEN 'Spanish' ELSE 'Other' END AS theme,
+  CASE kind WHEN 'que' THEN 'Write an article' ELSE '' END AS recommendation,
+  CASE WHEN call = 'ok' AND contains(customer_issue, 'que') THEN 'Angry' ELSE 'N/A' END AS sentiment,
+  CASE call WHEN 'error' THEN 'Error analyzing sentiment: ValueError: no reply for und'
+    WHEN 'ok' THEN CASE WHEN contains(customer_issue, 'que') THEN 'tone' ELSE 'N/A' END ELSE 'N/A' END AS sentiment_explanation,
+  coalesce(customer_issue, '') AS customer_issue
+FROM answered"""
+
+
+@query("analyse_with_clients", _MODEL_RUN)
+def model_run(spark, d):
+    """The reference's main path with offline clients, tried again as live ones would be."""
+    patient = {step: with_retries(factory, waits=(0.0, 0.0)) for step, factory in run_clients().items()}
+    store = shared.new_path(spark, "store")
+    return analyse_with_clients(S.tickets(spark, d), S.comments(spark, d), patient, store, range_prompts=500)
+
+
+_BOUND = 600
+
+
+@query(
+    "t1_long_threads",
+    f"""WITH {THREADS} SELECT ticket_id, CASE WHEN length(transcript) < {_BOUND} THEN transcript ELSE 'read in parts' END AS thread,
+      TRUE AS bounded, CAST(NULL AS VARCHAR) AS error FROM threads WHERE comment_count > 0""",
+)
+def t1_long(spark, d):
+    """Threads under the bound as they are; a longer one is the client's word for each of its parts."""
+    read = read_threads(S.comments(spark, d), offline_client([], "part"), shared.new_path(spark, "parts"), _BOUND)
+    own = F.when(F.col("thread").rlike("^(part\n)*part$"), "read in parts").otherwise(F.col("thread"))
+    return read.join(S.tickets(spark, d).select("ticket_id"), "ticket_id", "left_semi").select(
+        "ticket_id", own.alias("thread"), (F.length("thread") <= _BOUND).alias("bounded"), "error"
+    )
+
+
+def _merge_client():
+    def client(prompt):
+        names = json.loads(prompt.split("Themes:\n\n")[1])
+        return json.dumps({name: f"Group {len(name) % 5}" for name in names})
+
+    return client
+
+
+@query(
+    "t2_one_theme_set",
+    """SELECT proposed, 'Group ' || length(proposed) % 5 AS theme FROM (SELECT DISTINCT left(text, 12) AS proposed FROM documents
+      WHERE length(text) >= 1)""",
+)
+def t2_one_set(spark, d):
+    """Very many proposals, merged in rounds of bounded calls."""
+    texts = S.table(spark, d, "documents").where(F.length("text") >= 1)
+    names = texts.select(F.substring("text", 1, 12).alias("proposed")).distinct()
+    run = analyse.Run({"theme_merge": lambda: _merge_client()}, shared.new_path(spark, "store"), "run", 5, 1, 1000)
+    return analyse.one_theme_set(names, run)

@@ -22,7 +22,8 @@ from threadlens.plans.report import report
 
 VERDICT = f"nullif(regexp_extract({clean('self_service_analysis')}, 'Self Service Possible\\?: (Yes|No)', 1), '')"
 CORRECT = "CASE WHEN bot_correct IN ('Yes', 'No') THEN bot_correct END"
-PCT = "round_even(100.0 * n / sum(n) OVER (), 1)"
+PCT = "format('{:.1f}', (n / sum(n) OVER ()) * 100)"
+DIM_PCT = "format('{:.1f}', (n / sum(n) OVER (PARTITION BY dim)) * 100)"
 
 
 def shares(label: str, columns="label, n, pct, caption") -> str:
@@ -45,7 +46,7 @@ def a2(spark, d):
 
 @query(
     "a3_label_shares",
-    """SELECT event_type AS label, n, CAST(round_even(100.0 * n / sum(n) OVER (), 1) AS DOUBLE) AS pct
+    f"""SELECT event_type AS label, n, CAST({PCT} AS DOUBLE) AS pct
     FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1)""",
 )
 def a3(spark, d):
@@ -122,17 +123,37 @@ def a11(spark, d):
 
 @query(
     "a12_summary_batches",
-    """SELECT doc_id // 50 AS batch, count(*) AS tickets, '{' || string_agg('"' || doc_id || '":"' || lang || '"', ',' ORDER BY doc_id) || '}' AS summaries
-    FROM documents GROUP BY 1""",
+    """SELECT batch, count(*) AS tickets, '{' || string_agg('"' || doc_id || '":"' || lang || '"', ',' ORDER BY doc_id) || '}' AS summaries
+    FROM (SELECT 7919 * doc_id AS doc_id, lang, (row_number() OVER (ORDER BY doc_id) - 1) // 50 AS batch FROM documents) GROUP BY 1""",
 )
 def a12(spark, d):
-    rows = S.table(spark, d, "documents").selectExpr("doc_id AS ticket_id", "lang AS summary")
+    """Ids are sparse: batches go by place, not by id."""
+    rows = S.table(spark, d, "documents").selectExpr("7919 * doc_id AS ticket_id", "lang AS summary")
     batches = assemble.summary_batches(rows, span=50)
     return batches.select(
         "batch", F.size("summaries").cast("bigint").alias("tickets"), F.to_json("summaries").alias("summaries")
     )
 
 
+@query(
+    "a12_bounded_batches",
+    """WITH s AS (SELECT doc_id, length(text) AS own, length(text) > 4000 AS alone FROM documents WHERE text IS NOT NULL),
+    placed AS (SELECT doc_id, own, sum(greatest(4000, own * 20)) OVER (ORDER BY doc_id) - greatest(4000, own * 20) AS before FROM s WHERE NOT alone),
+    batches AS (SELECT CAST(before // 80000 AS BIGINT) AS batch, doc_id, own FROM placed UNION ALL SELECT -doc_id - 1, doc_id, own FROM s WHERE alone)
+    SELECT batch, count(*) AS tickets, CAST(sum(own) AS BIGINT) AS characters, min(doc_id) AS first_id, max(doc_id) AS last_id,
+      count(*) <= 20 AND (sum(own) <= 8000 OR count(*) = 1) AS bounded FROM batches GROUP BY batch""",
+)
+def a12_bounded(spark, d):
+    rows = S.table(spark, d, "documents").selectExpr("doc_id AS ticket_id", "text AS summary")
+    batches = assemble.summary_batches(rows, span=20, characters=8000).withColumn("ids", F.transform(F.map_keys("summaries"), lambda k: k.cast("long")))
+    size = F.aggregate(F.map_values("summaries"), F.lit(0).cast("long"), lambda n, t: n + F.length(t))
+    tickets = F.size("ids").cast("long")
+    return batches.withColumn("characters", size).select(
+        "batch", tickets.alias("tickets"), "characters", F.array_min("ids").alias("first_id"), F.array_max("ids").alias("last_id"),
+        ((tickets <= 20) & ((F.col("characters") <= 8000) | (tickets == 1))).alias("bounded"),
+    )
+
+
 @query(
     "a13_daily_conversations",
     """SELECT CAST(ts AS DATE) AS day, count(*) AS conversations FROM events
@@ -152,8 +173,8 @@ def a14(spark, d):
     return deflection.total_count(views, "views")
 
 
-_DEFLECTION = """SELECT k AS conversations, n AS tickets, CAST(round_even(100.0 * k / n, 1) AS DOUBLE) AS pct,
-      CASE WHEN n = 0 THEN 'N/A' ELSE k || '/' || n || ' (' || CAST(round_even(100.0 * k / n, 1) AS DECIMAL(20,1)) || '%)' END AS deflection"""
+_DEFLECTION = """SELECT k AS conversations, n AS tickets, CAST(format('{:.1f}', (k / n) * 100) AS DOUBLE) AS pct,
+      CASE WHEN n = 0 THEN 'N/A' ELSE k || '/' || n || ' (' || format('{:.1f}', (k / n) * 100) || '%)' END AS deflection"""
 
 
 @query(
@@ -199,7 +220,7 @@ _DASHBOARD = f"""WITH {ANALYSED}, labels_ AS (
       UNION ALL SELECT 'sentiment', {clean('sentiment')} FROM analysed
       UNION ALL SELECT 'theme', {clean('theme')} FROM analysed),
     n AS (SELECT dim, label, count(*) AS n FROM labels_ WHERE label IS NOT NULL GROUP BY 1, 2)
-    SELECT dim, label, n, CAST(round_even(100.0 * n / sum(n) OVER (PARTITION BY dim), 1) AS DOUBLE) AS pct FROM n"""
+    SELECT dim, label, n, CAST({DIM_PCT} AS DOUBLE) AS pct FROM n"""
 
 
 @query("a17_dashboard", _DASHBOARD)
@@ -217,7 +238,7 @@ def a17_header(spark, d):
 
 @query(
     "w1_share_of_total",
-    """SELECT dim, label, n, CAST(round_even(100.0 * n / sum(n) OVER (PARTITION BY dim), 1) AS DOUBLE) AS pct FROM (
+    f"""SELECT dim, label, n, CAST({DIM_PCT} AS DOUBLE) AS pct FROM (
       SELECT 'lang' AS dim, lang AS label, count(*) AS n FROM documents GROUP BY 2
       UNION ALL SELECT 'source', source, count(*) FROM documents GROUP BY 2)""",
 )

@@ -17,10 +17,11 @@ from checks.registry import (
     query,
     strip,
 )
+from threadlens import schemas
 from threadlens import standins as S
 from threadlens.functions.labels import nullify_na
 from threadlens.operators import assemble, breakdowns, deflection, threads, tickets
-from threadlens.sources import errors, shared, snapshots
+from threadlens.sources import errors, landed, shared, snapshots
 
 # --- sources and sinks -------------------------------------------------------
 
@@ -40,6 +41,55 @@ def s2(spark, d):
     return S.comments(spark, d)
 
 
+def _landed_threads(spark, d):
+    """Threads as JSON lines, one per ticket; every tenth ticket's line is broken off."""
+    comment = F.struct("pos", "author_id", "public", "plain_body", "created_at")
+    threads_ = S.comments(spark, d).groupBy("ticket_id").agg(F.sort_array(F.collect_list(comment)).alias("c"))
+    columns = "author_id", "public", "plain_body", "created_at"
+    kept = F.transform("c", lambda c: F.struct(*[c[n].alias(n) for n in columns])).alias("comments")
+    line = F.to_json(F.struct("ticket_id", kept))
+    broken = F.concat(F.lit('{"ticket_id":'), F.col("ticket_id").cast("string"), F.lit(',"comments":[{'))
+    path = shared.new_path(spark, "landed")
+    threads_.select(F.when(F.col("ticket_id") % 10 == 3, broken).otherwise(line)).write.text(path)
+    return path
+
+
+@query(
+    "s2_landed_comments",
+    f"""WITH {COMMENTS} SELECT ticket_id, row_number() OVER (PARTITION BY ticket_id ORDER BY pos) - 1 AS pos, author_id, public, plain_body,
+      strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') AS created FROM comments WHERE ticket_id % 10 <> 3""",
+)
+def s2_landed(spark, d):
+    comments = landed.read_comments(spark, _landed_threads(spark, d))
+    return comments.withColumn("created", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")).drop("created_at")
+
+
+@query(
+    "s2_bad_lines",
+    """SELECT DISTINCT CAST(NULL AS BIGINT) AS ticket_id, 'threads' AS stage, 'BadRecord' AS error_class,
+      'BadRecord: {"ticket_id":' || conv_id || ',"comments":[{' AS message FROM conversations WHERE conv_id % 10 = 3""",
+)
+def s2_bad(spark, d):
+    """Broken lines of the landed threads, in the error log once though logged twice."""
+    broken = landed.bad_lines(spark, _landed_threads(spark, d), schemas.THREADS, "threads")
+    path = shared.new_path(spark, "errors")
+    for _ in range(2):
+        errors.log_errors(broken, path, "run", "threads")
+    return errors.read_errors(spark, path, "run").drop("ts")
+
+
+@query(
+    "s2_threads_as_arrays",
+    f"""WITH {THREADS} SELECT ticket_id, customer_issue, agent_resolution, comment_count, transcript FROM threads WHERE ticket_id % 10 <> 3 AND comment_count > 0""",
+)
+def s2_arrays(spark, d):
+    """Opening and final comments and transcript straight from landed arrays."""
+    found = threads.assemble_arrays(S.tickets(spark, d), landed.read_threads(spark, _landed_threads(spark, d)))
+    return found.where(F.col("comment_count") > 0).select(
+        "ticket_id", "customer_issue", "agent_resolution", F.col("comment_count").cast("bigint").alias("comment_count"), "transcript"
+    )
+
+
 _TEXTS = [c for c in ANALYSIS_COLUMNS.split(", ") if c != "ticket_id"]
 
 
@@ -62,11 +112,15 @@ def s4(spark, d):
     return snapshots.read_csv(spark, path, missing_to_null=False)
 
 
-def _two_runs(spark, d):
+def _two_runs(spark, d, half_written=False):
     path = shared.new_path(spark, "snapshots")
     rows = S.analysed(spark, d)
+    snapshots.write_snapshot(rows.limit(5), path, "20240101_090000")
+    # The same run once more replaces the first; a newer one is left half-written.
     snapshots.write_snapshot(rows, path, "20240101_090000")
     snapshots.write_snapshot(rows.withColumn("theme", F.lit("later")), path, "20240102_090000")
+    if half_written:
+        rows.limit(3).write.parquet(f"{path}/{snapshots.STAMP}=20240103_090000")
     return path
 
 
@@ -88,7 +142,7 @@ def s5(spark, d):
     f"WITH {ANALYSED} SELECT {ANALYSIS_COLUMNS.replace('theme', lit('later') + ' AS theme')} FROM analysed",
 )
 def s6(spark, d):
-    return snapshots.read_latest_snapshot(spark, _two_runs(spark, d))
+    return snapshots.read_latest_snapshot(spark, _two_runs(spark, d, half_written=True))
 
 
 @query("s7_chosen_snapshot", f"WITH {ANALYSED} SELECT {ANALYSIS_COLUMNS} FROM analysed")
@@ -117,6 +171,31 @@ def s9(spark, d):
     return deflection.between(S.article_views(spark, d), _START)
 
 
+@query(
+    "s8_landed_activity",
+    f"""SELECT CAST(event_id AS VARCHAR) AS conversation_id, epoch_us(ts) AS micros FROM events
+    WHERE ts >= TIMESTAMP '{_START}' AND ts <= TIMESTAMP '{_END}'""",
+)
+def s8_landed(spark, d):
+    path = shared.new_path(spark, "activity")
+    landed.land_events(S.activity(spark, d).withColumn("ts", F.col("ts").cast("timestamp")), path, "parquet")
+    found = landed.read_activity(spark, path, _START, _END, "parquet")
+    return found.select("conversation_id", F.unix_micros("ts").alias("micros"))
+
+
+@query(
+    "s9_landed_views",
+    f"""SELECT CAST(event_id AS VARCHAR) AS event_id, epoch_us(ts) AS micros FROM events
+    WHERE event_type = 'view' AND ts >= TIMESTAMP '{_START}'""",
+)
+def s9_landed(spark, d):
+    """Article views landed as JSON in a folder per day; only days since the start are read."""
+    path = shared.new_path(spark, "views")
+    landed.land_events(S.article_views(spark, d).withColumn("ts", F.col("ts").cast("timestamp")), path)
+    found = landed.read_article_views(spark, path, _START)
+    return found.select("event_id", F.unix_micros("ts").alias("micros"))
+
+
 @query(
     "s10_error_log",
     """SELECT event_id AS ticket_id, 'bot' AS stage, 'HTTPError' AS error_class,
@@ -128,8 +207,8 @@ def s10(spark, d):
     message = F.when(F.col("event_type") == "error", F.concat(F.lit("HTTPError: "), "props"))
     failed = errors.error_rows(rows, "bot", message, F.col("ts"))
     path = shared.new_path(spark, "errors")
-    errors.log_errors(failed, path)
-    errors.log_errors(failed, path)
+    for run in ("first", "second", "second"):  # a run that is done again logs nothing twice
+        errors.log_errors(failed, path, run, "bot")
     logged = errors.read_errors(spark, path)
     times = logged.groupBy("ticket_id").agg(F.count(F.lit(1)).alias("times"))
     return logged.drop("ts").join(times, "ticket_id")
@@ -231,11 +310,13 @@ def r10(spark, d):
 
 @query(
     "r11_theme_input",
-    "SELECT page_id AS ticket_id, html AS summary FROM pages WHERE NOT contains(html, 'Error')",
+    """SELECT page_id AS ticket_id, CASE WHEN page_id % 7 = 3 THEN 'error 404' ELSE html END AS summary FROM pages
+    WHERE page_id % 7 <> 2 AND NOT contains(html, 'Error')""",
 )
 def r11(spark, d):
-    rows = S.table(spark, d, "pages").selectExpr("page_id AS ticket_id", "html AS summary")
-    return tickets.theme_input(rows)
+    """Every seventh summary names an Error and is left out, another an error in small letters."""
+    summary = "CASE page_id % 7 WHEN 2 THEN 'Login: Error 500' WHEN 3 THEN 'error 404' ELSE html END AS summary"
+    return tickets.theme_input(S.table(spark, d, "pages").selectExpr("page_id AS ticket_id", summary))
 
 
 # Answers taken from the marks: unmarked documents have no agent answer, one

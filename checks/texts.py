@@ -88,6 +88,17 @@ def _field(name: str) -> str:
     return f"CASE WHEN regexp_matches(reply, {lit(pattern)}) THEN {strip(f'regexp_extract(reply, {lit(pattern)}, 1)')} ELSE 'N/A' END"
 
 
+@query(
+    "f7_sentiment_known",
+    """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Angry' WHEN doc_id % 3 = 1 THEN 'angry' ELSE 'N/A' END AS sentiment, doc_id % 3 = 0 AS known
+    FROM documents""",
+)
+def f7_known(spark, d):
+    reply = F.when(F.col("doc_id") % 3 == 0, "Sentiment: Angry \nExplanation: x").when(F.col("doc_id") % 3 == 1, "Sentiment:angry")
+    label = labels.sentiment_label(reply.otherwise("Mood: Angry"))
+    return docs(spark, d).select("doc_id", label.alias("sentiment"), labels.known_sentiment(label).alias("known"))
+
+
 @query("f7_sentiment_label", f"WITH {_REPLY} SELECT doc_id, {_field('Sentiment')} AS sentiment, FALSE AS known FROM replies")
 def f7(spark, d):
     label = labels.sentiment_label(F.col("reply"))
@@ -235,17 +246,22 @@ def f18(spark, d):
     return S.table(spark, d, "events").select("event_id", dates.snapshot_stamp(F.col("ts")).alias("stamp"))
 
 
+_SHARE = "format('{:.1f}', (k / n) * 100)"
+
+
 @query(
     "f19_percent",
-    """SELECT o_orderkey AS ticket_id, CAST(round_even(100.0 * k / 16, 1) AS DOUBLE) AS pct,
-      CASE WHEN k > 0 THEN k || ' (' || CAST(round_even(100.0 * k / 16, 1) AS DECIMAL(10,1)) || '%)' ELSE '' END AS caption
-    FROM (SELECT o_orderkey, o_custkey % 17 AS k FROM orders)""",
+    f"""SELECT o_orderkey AS ticket_id, CAST({_SHARE} AS DOUBLE) AS pct,
+      CASE WHEN CAST({_SHARE} AS DOUBLE) > 0 THEN k || ' (' || {_SHARE} || '%)' ELSE '' END AS caption
+    FROM (SELECT o_orderkey, o_custkey % 17 AS k, CASE WHEN o_orderkey % 3 = 0 THEN 16 WHEN o_orderkey % 3 = 1 THEN 2000 ELSE 1 + o_orderkey % 997 END AS n FROM orders)""",
 )
 def f19(spark, d):
-    k = F.col("o_custkey") % 17
-    pct = labels.percent(k, F.lit(16))
+    """Shares of 16 have true ties, of 2000 doubles beside a tie."""
+    key, k = F.col("o_orderkey"), F.col("o_custkey") % 17
+    n = F.when(key % 3 == 0, 16).when(key % 3 == 1, 2000).otherwise(1 + key % 997)
+    pct = labels.percent(k, n)
     return S.table(spark, d, "orders").select(
-        F.col("o_orderkey").alias("ticket_id"), pct.alias("pct"), labels.count_and_percent(k, pct).alias("caption")
+        key.alias("ticket_id"), pct.alias("pct"), labels.count_and_percent(k, pct).alias("caption")
     )
 
 
@@ -310,8 +326,8 @@ def t1(spark, d):
 
 @query(
     "t2_theme_prompt",
-    f"""SELECT doc_id // 100 AS batch, {lit(prompts.THEME_INSTRUCTIONS)} || '{{' || string_agg('"' || doc_id || '":"' || source || '"', ',' ORDER BY doc_id) || '}}' AS prompt
-    FROM documents GROUP BY 1""",
+    f"""SELECT batch, {lit(prompts.THEME_INSTRUCTIONS)} || '{{' || string_agg('"' || doc_id || '":"' || source || '"', ',' ORDER BY doc_id) || '}}' AS prompt
+    FROM (SELECT doc_id, source, (row_number() OVER (ORDER BY doc_id) - 1) // 100 AS batch FROM documents) GROUP BY 1""",
 )
 def t2(spark, d):
     rows = docs(spark, d).selectExpr("doc_id AS ticket_id", "source AS summary")

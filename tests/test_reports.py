@@ -1,8 +1,12 @@
 """Breakdown properties, drill-downs, deflection, snapshots and landed readers."""
 
+import contextlib
 import datetime as dt
+import io
 import json
 import random
+import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +15,7 @@ from threadlens.functions.labels import verdict_label
 from threadlens.operators import breakdowns as B
 from threadlens.operators import deflection as D
 from threadlens.plans.report import report
-from threadlens.schemas import ACTIVITY, ANALYSIS, csv_headings
+from threadlens.schemas import ACTIVITY, ANALYSIS, THREADS, csv_headings
 from threadlens.sources import landed, snapshots
 from threadlens.sources.shared import new_path
 
@@ -141,12 +145,63 @@ def test_landed_json(spark, tmp_path):
     ticket = {"ticket_id": 1, "created_at": "2024-01-01T10:00:00Z", "status": "solved", "ticket_form_id": 9, "extra": 1}
     (tmp_path / "tickets" / "a.json").write_text(json.dumps(ticket))
     assert landed.read_tickets(spark, str(tmp_path / "tickets")).first()["created_at"] == dt.datetime(2024, 1, 1, 10)
-    (tmp_path / "views").mkdir()
-    lines = [json.dumps({"event_id": str(i), "ts": f"2024-01-0{i}T00:00:00Z"}) for i in range(1, 6)]
-    (tmp_path / "views" / "a.json").write_text("\n".join(lines))
-    views = landed.read_article_views(spark, str(tmp_path / "views"), dt.datetime(2024, 1, 3))
-    assert views.count() == 3
+    assert landed.read_tickets(spark, str(tmp_path / "tickets")).count() == 1
+
+
+def test_bad_lines_cost_their_own_record(spark, tmp_path):
+    good = [json.dumps({"ticket_id": i, "comments": [{"author_id": i, "plain_body": "x"}]}) for i in range(3)]
+    bad = ['{"ticket_id": 7, "comm', '{"ticket_id": "seven", "comments": []}', "[1]"]
+    (tmp_path / "a.json").write_text("\n".join([good[0], bad[0], "", good[1], bad[1], good[2], bad[2]]))
+    comments = landed.read_comments(spark, str(tmp_path))
+    assert comments.count() == 3 and {r["ticket_id"] for r in comments.collect()} == {0, 1, 2}
+    assert landed.read_threads(spark, str(tmp_path)).count() == 3
+    logged = landed.bad_lines(spark, str(tmp_path), THREADS, "threads").collect()
+    assert sorted(r["message"] for r in logged) == sorted("BadRecord: " + line for line in bad)
+    assert {(r["ticket_id"], r["stage"], r["error_class"]) for r in logged} == {(None, "threads", "BadRecord")}
+
+
+def plan(df):
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain("formatted")
+    return out.getvalue()
+
+
+@pytest.mark.parametrize("fmt", ["json", "parquet"])
+def test_events_by_day(spark, fmt):
+    days = [dt.datetime(2024, 1, d, h) for d in range(1, 6) for h in (0, 12)]
+    events = spark.createDataFrame([(str(i), t) for i, t in enumerate(days)], "conversation_id STRING, ts TIMESTAMP")
     path = new_path(spark, "activity")
-    views.withColumnRenamed("event_id", "conversation_id").write.parquet(path)
-    window = dt.datetime(2024, 1, 3), dt.datetime(2024, 1, 4)
-    assert landed.read_activity(spark, path, *window).count() == 2
+    landed.land_events(events, path, fmt)
+    found = landed.read_activity(spark, path, dt.datetime(2024, 1, 2, 6), dt.datetime(2024, 1, 4), fmt)
+    assert sorted(r["conversation_id"] for r in found.collect()) == ["3", "4", "5", "6"]
+    filters = re.search(r"PartitionFilters: \[(.*)\]", plan(found)).group(1)
+    assert "day" in filters and ">= 2024-01-02" in filters and "<= 2024-01-04" in filters
+    views = new_path(spark, "views")
+    landed.land_events(events.withColumnRenamed("conversation_id", "event_id"), views, fmt)
+    assert landed.read_article_views(spark, views, dt.datetime(2024, 1, 3), fmt).count() == 6
+
+
+def test_runs_are_replaced_and_half_written_ones_are_not_the_newest(spark, analysed):
+    path = new_path(spark, "snaps")
+    assert not snapshots.has_rows(snapshots.read_latest_snapshot(spark, path))
+    for n in (9, 4):
+        snapshots.write_snapshot(analysed.limit(n), path, "20240501_100000")
+    analysed.limit(6).write.parquet(f"{path}/{snapshots.STAMP}=20240601_100000")
+    snapshots._note(spark, path, "20240601_100000", "started")
+    newest = snapshots.read_latest_snapshot(spark, path)
+    assert newest.count() == 4 and spark.read.parquet(path).count() == 10
+    assert [r["stamp"] for r in snapshots.finished_runs(spark, path).collect()] == ["20240501_100000"]
+    # The scan knows one run's folder only.
+    assert "20240601" not in plan(newest) and "Subquery" not in plan(newest)
+    assert all("20240501" in f for f in newest.inputFiles())
+
+
+def test_csv_files_are_bounded_in_bytes(spark, analysed):
+    path = new_path(spark, "csv")
+    snapshots.write_csv(analysed, path, file_bytes=4000)
+    sizes = [f.stat().st_size for f in Path(path).rglob("*.csv")]
+    widest = max(len(json.dumps(list(map(str, r)))) for r in analysed.collect())
+    assert len(sizes) > 3 and max(sizes) <= 4000 + 2 * widest + 400
+    back = snapshots.read_csv(spark, path, missing_to_null=False)
+    assert sorted(back.collect()) == sorted(analysed.collect())

@@ -80,8 +80,16 @@ def test_missing_tokens(spark):
 
 
 def test_percent_ties_go_to_even(spark):
-    df = spark.createDataFrame([(1, 16), (3, 16), (1, 3), (0, 5), (2, 0)], "n BIGINT, t BIGINT")
-    assert [r[0] for r in df.select(labels.percent(F.col("n"), F.col("t"))).collect()] == [6.2, 18.8, 33.3, 0.0, None]
+    df = spark.createDataFrame([(1, 16), (3, 16), (1, 3), (0, 5), (2, 0), (1, 2000)], "n BIGINT, t BIGINT")
+    assert [r[0] for r in df.select(labels.percent(F.col("n"), F.col("t"))).collect()] == [6.2, 18.8, 33.3, 0.0, None, 0.1]
+
+
+def test_percent_equals_exact_formatting(spark):
+    pairs = [(n, t) for t in (3, 7, 16, 80, 400, 999, 1000, 2000, 6400) for n in range(0, t + 1, max(1, t // 400))]
+    pairs += [(2**40 + i, 2**41) for i in range(50)] + [(5, 2), (12345, 10)]
+    df = spark.createDataFrame(pairs, "n BIGINT, t BIGINT")
+    got = df.select("n", "t", labels.percent(F.col("n"), F.col("t")).alias("p")).collect()
+    assert [r for r in got if r["p"] != float(f"{r['n'] / r['t'] * 100:.1f}")] == []
 
 
 def test_verdict_block(spark):

@@ -58,9 +58,30 @@ def known_sentiment(label: Column) -> Column:
     return F.coalesce(label.isin(*SENTIMENTS), F.lit(False))
 
 
+def _beyond(p: Column, odd: Column) -> Column:
+    """20 p - odd, of the right sign to the last bit: the product is a sum of two exact ones."""
+    more, less = p * 16.0, p * 4.0
+    total = more + less
+    return (total - odd) + (less - (total - more))
+
+
+def one_decimal(p: Column) -> Column:
+    """A double as exact decimal formatting with one place would print it, half-even on true ties.
+
+    Rounding by its decimal text takes 0.05 for a tie, but the double lies above it.
+    """
+    near = F.floor(p * 10.0 + 0.5).cast("double")
+    up, down = _beyond(p, 2.0 * near + 1.0), _beyond(p, 2.0 * near - 1.0)
+    odd = near % 2 != 0
+    tenths = (
+        F.when((up > 0) | ((up == 0) & odd), near + 1.0).when((down < 0) | ((down == 0) & odd), near - 1.0).otherwise(near)
+    )
+    return tenths / 10.0
+
+
 def percent(n: Column, total: Column) -> Column:
-    """Share in percent, one decimal, half-even on ties; null for a zero total."""
-    return F.when(total > 0, F.bround(F.lit(100.0) * n / total, 1))
+    """Share in percent with one decimal, as formatting ``(n / total) * 100``; null for a zero total."""
+    return F.when(total > 0, one_decimal(n / total * 100.0))
 
 
 def count_and_percent(n: Column, pct: Column) -> Column:

@@ -88,16 +88,17 @@ def _bound_rows(df: DataFrame, key: str, order: str, bound, pick) -> DataFrame:
     return found.groupBy(key).agg(pick(F.struct(*rest), order).alias("r")).select(key, "r.*")
 
 
-def _with_line(comments: DataFrame) -> DataFrame:
-    """Private comments and untrimmed bodies belong to the transcript."""
-    line = comment_line(F.col("author_id"), F.col("created_at"), redact(F.col("plain_body")))
+def with_line(comments: DataFrame, masked: bool = False) -> DataFrame:
+    """Private comments and untrimmed bodies belong to the transcript. ``masked``: bodies already are."""
+    body = F.col("plain_body") if masked else redact(F.col("plain_body"))
+    line = comment_line(F.col("author_id"), F.col("created_at"), body)
     return comments.select("ticket_id", "pos", line.alias("line"))
 
 
 def transcripts(comments: DataFrame) -> DataFrame:
     """(ticket_id, comment_count, transcript): every thread that has comments, whole."""
     return (
-        _with_line(comments)
+        with_line(comments)
         .groupBy("ticket_id")
         .agg(
             F.count(F.lit(1)).alias("comment_count"),
@@ -110,18 +111,20 @@ def transcript_parts(comments: DataFrame, part_comments: int = PART_COMMENTS) ->
     """(ticket_id, part, transcript): the whole text of every thread, in pieces of
     ``part_comments`` positions. Joining the parts by newline gives the transcript."""
     return (
-        _with_line(comments)
+        with_line(comments)
         .withColumn("part", F.floor(F.col("pos") / part_comments))
         .groupBy("ticket_id", "part")
         .agg(F.expr("listagg(line, '\\n') WITHIN GROUP (ORDER BY pos)").alias("transcript"))
     )
 
 
-def assemble_threads(tickets: DataFrame, comments: DataFrame, transcript: bool = True) -> DataFrame:
+def assemble_threads(
+    tickets: DataFrame, comments: DataFrame, transcript: bool = True, masked: bool = False
+) -> DataFrame:
     """Every ticket with its redacted opening message, redacted final answer, comment
     count and, unless left out, transcript.
 
-    ``comment_count`` is 0 for an empty thread.
+    ``comment_count`` is 0 for an empty thread. ``masked`` says that bodies are redacted already.
     """
     joined = tickets.join(answer_bounds(tickets, comments), "ticket_id", "left")
     if not transcript:
@@ -129,11 +132,9 @@ def assemble_threads(tickets: DataFrame, comments: DataFrame, transcript: bool =
         joined = joined.join(counts, "ticket_id", "left")
     else:
         joined = joined.join(transcripts(comments), "ticket_id", "left")
-    return (
-        joined.withColumn("customer_issue", redact(F.col("customer_issue")))
-        .withColumn("agent_resolution", redact(F.col("agent_resolution")))
-        .withColumn("comment_count", F.coalesce("comment_count", F.lit(0)))
-    )
+    if not masked:
+        joined = joined.withColumns({c: redact(F.col(c)) for c in ("customer_issue", "agent_resolution")})
+    return joined.withColumn("comment_count", F.coalesce("comment_count", F.lit(0)))
 
 
 def assemble_arrays(tickets: DataFrame, threads: DataFrame) -> DataFrame:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadlens.functions.labels import nullify_na
+from threadlens.operators.running import running_total
 from threadlens.schemas import ANALYSIS, csv_headings
 
 STAMP = "snapshot_ts"
+RUNS = T.StructType([T.StructField("stamp", T.StringType()), T.StructField("state", T.StringType())])
+FILE_BYTES = 64 << 20
 # Quotes are doubled, line breaks kept inside quotes and blanks left alone, so any
 # text survives. An empty text is written as "" and null as nothing.
 _CSV = {
@@ -22,26 +26,53 @@ _CSV = {
 }
 
 
+def _runs_path(path: str) -> str:
+    # Folders that begin with an underscore are no data to a reader of ``path``.
+    return f"{path}/_runs"
+
+
+def _note(spark: SparkSession, path: str, stamp: str, state: str) -> None:
+    row = spark.range(1).select(F.lit(stamp).alias("stamp"), F.lit(state).alias("state"))
+    row.write.mode("overwrite").json(f"{_runs_path(path)}/run={stamp}")
+
+
 def write_snapshot(analysed: DataFrame, path: str, stamp: str) -> None:
-    analysed.withColumn(STAMP, F.lit(stamp)).write.partitionBy(STAMP).mode("append").parquet(path)
+    """Write one run. Writing the same stamp again replaces it.
 
+    The manifest has one small file per run and says that a run is done only after its
+    data are written, so a half-written run is never taken for the newest.
+    """
+    spark = analysed.sparkSession
+    _note(spark, path, stamp, "started")
+    analysed.write.mode("overwrite").parquet(f"{path}/{STAMP}={stamp}")
+    _note(spark, path, stamp, "done")
 
-def _snapshots(spark: SparkSession, path: str) -> DataFrame:
-    schema = T.StructType([*ANALYSIS.fields, T.StructField(STAMP, T.StringType())])
-    return spark.read.schema(schema).parquet(path)
+
+def finished_runs(spark: SparkSession, path: str) -> DataFrame:
+    """(stamp) of the runs the manifest calls done; empty if there is no manifest."""
+    runs = _or_empty(spark, RUNS, lambda r: r.json(_runs_path(path)))
+    return runs.where(F.col("state") == "done").select("stamp")
+
+
+def _or_empty(spark: SparkSession, schema: T.StructType, load) -> DataFrame:
+    try:
+        return load(spark.read.schema(schema))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def read_snapshot(spark: SparkSession, path: str, stamp: str) -> DataFrame:
-    """One run; the filter is on the partition column, so only its files are read."""
-    return _snapshots(spark, path).where(F.col(STAMP) == stamp).drop(STAMP)
+    """One run, from its own folder; no row if it does not exist."""
+    return _or_empty(spark, ANALYSIS, lambda r: r.parquet(f"{path}/{STAMP}={stamp}"))
 
 
 def read_latest_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """The newest run. The newest stamp is a scalar subquery over the partition column,
-    so the scan prunes to that run's files."""
-    runs = _snapshots(spark, path)
-    newest = runs.select(F.max(STAMP)).scalar()
-    return runs.where(F.col(STAMP) == newest).drop(STAMP)
+    """The newest finished run. Its stamp comes from the manifest, so no other run's files are
+    listed or read; no row if there is none."""
+    newest = finished_runs(spark, path).agg(F.max("stamp")).first()[0]
+    return spark.createDataFrame([], ANALYSIS) if newest is None else read_snapshot(spark, path, newest)
 
 
 def has_rows(df: DataFrame) -> bool:
@@ -49,12 +80,24 @@ def has_rows(df: DataFrame) -> bool:
     return not df.isEmpty()
 
 
-def write_csv(analysed: DataFrame, path: str, headings: dict[str, str] | None = None) -> None:
-    """Export with the fixed headings, no index. Quoted line breaks keep a file from being
-    split on reading, so files are cut by row count when written."""
+def write_csv(
+    analysed: DataFrame, path: str, headings: dict[str, str] | None = None, file_bytes: int = FILE_BYTES
+) -> None:
+    """Export with the fixed headings, no index.
+
+    Quoted line breaks keep a file from being split on reading, so files are cut when written: rows
+    are dealt by a running total of their text bytes to files of about ``file_bytes``.
+    """
     names = headings or csv_headings()
-    out = analysed.select(*[F.col(c).alias(names[c]) for c in ANALYSIS.fieldNames()])
-    out.write.options(**_CSV).option("maxRecordsPerFile", 500_000).csv(path)
+    columns = ANALYSIS.fieldNames()
+    width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in columns), F.lit(len(columns)))
+    sized = analysed.select(*columns, width.cast("long").alias("_bytes"), F.xxhash64(*columns).alias("_mark"))
+    placed = running_total(sized, ["ticket_id", "_mark"], "_bytes", "_before")
+    # Rows of one file meet in one task; a task may write several files.
+    dealt = placed.withColumn("file", F.expr(f"_before div {file_bytes}L")).repartition("file")
+    files = dealt.sortWithinPartitions("file", "_before")
+    out = files.select("file", *[F.col(c).alias(names[c]) for c in columns])
+    out.write.partitionBy("file").options(**_CSV).csv(path)
 
 
 def read_csv(
@@ -70,7 +113,7 @@ def read_csv(
     # A null token no text can equal keeps "" (empty) apart from nothing (null).
     options = {**_CSV, "enforceSchema": False, "nullValue": "\x00"}
     table = spark.read.schema(schema).options(**options).csv(path)
-    table = table.toDF(*ANALYSIS.fieldNames())
+    table = table.select(*[F.col(f"`{name}`") for name in schema.names]).toDF(*ANALYSIS.fieldNames())
     if not missing_to_null:
         return table
     texts = {f.name for f in ANALYSIS.fields if isinstance(f.dataType, T.StringType)}
