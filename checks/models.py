@@ -17,6 +17,7 @@ from checks.registry import (
 )
 from threadlens import standins as S
 from threadlens.functions import prompts
+from threadlens.functions.text import tokens as tokens_of
 from threadlens.operators.baselines import compare, entities, recommend, retrieval, sentiment, summary, themes
 from threadlens.operators.enrich import enrich, offline_client, with_retries
 from threadlens.operators.reading import read_threads
@@ -142,6 +143,24 @@ def b2_discovery(spark, d):
     return themes.discover_themes(rows, k=8)
 
 
+@query(
+    "b2_discovery_invariants",
+    "SELECT doc_id AS ticket_id, count(*) AS times, TRUE AS few_themes, TRUE AS named FROM documents GROUP BY doc_id",
+)
+def b2_invariants(spark, d):
+    """What holds for any clustering: each id once, at most k themes, and names made of words of the cluster."""
+    rows = S.knowledge(spark, d).selectExpr("doc_id AS ticket_id", "text AS summary")
+    found = shared.materialise(themes.discover_themes(rows, k=8), "discovered")
+    used = found.join(rows, "ticket_id").select("theme", F.explode(tokens_of(F.col("summary"))).alias("term")).distinct()
+    terms = found.select("theme", F.explode(F.split("theme", " / ")).alias("term")).distinct()
+    strange = terms.join(used, ["theme", "term"], "left_anti").where(F.col("theme") != "N/A").select("theme").distinct()
+    few = found.select("theme").distinct().count() <= 8
+    marked = found.join(strange.withColumn("strange", F.lit(True)), "theme", "left")
+    return marked.groupBy("ticket_id").agg(
+        F.count(F.lit(1)).alias("times"), F.lit(few).alias("few_themes"), F.every(F.col("strange").isNull()).alias("named")
+    )
+
+
 def _jaccard(a: str, b: str) -> str:
     x, y = tokens(a), tokens(b)
     both = f"len(list_distinct(list_intersect({x}, {y})))"
@@ -268,13 +287,15 @@ def b6(spark, d):
 
 
 def masked(x: str, terms=S.GAZETTEER) -> str:
-    """Longest term first; each replacement runs twice because SQL's pattern takes the
-    separators with it."""
-    for term, label in sorted(terms, key=lambda t: (-len(t[0]), t[0])):
-        inner = term.replace(" ", r"[^\p{L}\p{N}]+")
-        for _ in range(2):
-            x = rf"regexp_replace({x}, '(?i)(^|[^\p{{L}}\p{{N}}]){inner}([^\p{{L}}\p{{N}}]|$)', '\1[REDACTED {label}]\2', 'g')"
-    return x
+    """Leftmost longest terms: tokens are put between marks, terms in order of length are found
+    at once and put between others, and each is replaced by its label."""
+    pattern = lambda term: "[^\\x01\\x02]+".join(f"\\x01{word}\\x02" for word in term.split())
+    order = sorted(terms, key=lambda t: -len(t[0]))
+    x = rf"regexp_replace({x}, '([\p{{L}}\p{{N}}]+)', chr(1) || '\1' || chr(2), 'g')"
+    x = f"regexp_replace({x}, '(?i)({'|'.join(pattern(term) for term, _ in order)})', chr(3) || '\\1' || chr(4), 'g')"
+    for term, label in order:
+        x = f"regexp_replace({x}, '(?i)\\x03{pattern(term)}\\x04', '[REDACTED {label}]', 'g')"
+    return f"regexp_replace({x}, '[\\x01-\\x04]', '', 'g')"
 
 
 @query("b7_entity_redaction", f"SELECT doc_id, {masked('text')} AS text FROM documents")

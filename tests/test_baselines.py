@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from threadlens.operators.baselines import entities, retrieval, sentiment, summary, themes
-from threadlens.operators.joins import fits, lookup
+from threadlens.functions.text import word_counts
+from threadlens.operators.joins import fits, heavy_keys, lookup
 
 RNG = random.Random(3)
 WORDS = ["the"] * 12 + [f"w{i}" for i in range(60)]
@@ -50,11 +51,12 @@ def knowledge(spark):
     return spark.createDataFrame(ARTICLES, "doc_id BIGINT, text STRING")
 
 
-@pytest.mark.parametrize("block_entries, salts", [(10_000_000, None), (100, 3), (40, 1)])
-def test_retrieval_is_exact_for_any_blocking(spark, knowledge, block_entries, salts):
+@pytest.mark.parametrize("seeds, bands", [(8, 2), (1, 1), (3, 50)])
+def test_retrieval_is_exact_for_any_blocking(spark, knowledge, monkeypatch, seeds, bands):
+    monkeypatch.setattr(retrieval, "SEEDS", seeds)
+    monkeypatch.setattr(retrieval, "BANDS", bands)
     asked = spark.createDataFrame(QUESTIONS, "ticket_id BIGINT, customer_issue STRING")
-    index = retrieval.build_index(knowledge)
-    got = retrieval.best_articles(asked, index, salts=salts, block_entries=block_entries)
+    got = retrieval.best_articles(asked, retrieval.build_index(knowledge))
     got = {r["ticket_id"]: (r["doc_id"], r["score"]) for r in got.collect()}
     expected = brute_best()
     assert got.keys() == expected.keys()
@@ -62,6 +64,25 @@ def test_retrieval_is_exact_for_any_blocking(spark, knowledge, block_entries, sa
     assert got[900][0] == 201
 
 
+def test_questions_meet_few_blocks_and_articles(spark):
+    """Common words are in most articles, yet a question meets a small part of blocks and articles."""
+    rng = random.Random(5)
+    common = [f"c{i}" for i in range(30)]
+    texts = [" ".join(rng.choices(common, k=60) + rng.choices([f"r{i}" for i in range(4000)], k=25)) for _ in range(1500)]
+    articles = spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING")
+    asked = [(q, " ".join(rng.sample(common, 12) + rng.sample(texts[q * 7].split()[60:], 6))) for q in range(120)]
+    questions = spark.createDataFrame(asked, "ticket_id BIGINT, customer_issue STRING")
+    postings = retrieval.build_index(articles).weights().withColumn("band", retrieval.band_of(F.col("weight"))).cache()
+    bounds = retrieval.with_bounds(retrieval.question_terms(questions, "customer_issue"), postings).cache()
+    blocks = retrieval.wanted_blocks(bounds, retrieval.floors(bounds, postings))
+    every = bounds.join(postings.select("term", "band").distinct(), "term").count()
+    assert blocks.count() * 2 < every
+    met = blocks.join(postings, ["term", "band"]).where("weight >= need").select("question", "doc_id").distinct().count()
+    assert met * 20 < 120 * 1500
+    best = {r["ticket_id"]: r["doc_id"] for r in retrieval.best_articles(questions, retrieval.build_index(articles)).collect()}
+    assert all(best[q] == q * 7 for q in range(120))
+
+
 def test_empty_knowledge(spark, knowledge):
     asked = spark.createDataFrame(QUESTIONS, "ticket_id BIGINT, customer_issue STRING")
     none = knowledge.where("doc_id < 0")
@@ -70,7 +91,7 @@ def test_empty_knowledge(spark, knowledge):
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])
-def test_salted_lookup_equals_broadcast(spark, how):
+def test_split_lookup_equals_broadcast(spark, how):
     # One key holds a third of the rows.
     rows = spark.range(3000).select(
         F.col("id").alias("ticket_id"),
@@ -78,10 +99,31 @@ def test_salted_lookup_equals_broadcast(spark, how):
     )
     dim = spark.createDataFrame([("hot", 1), ("k1", 2), ("k1", 3), ("zz", 4)], "term STRING, v INT")
     assert fits(dim) and not fits(dim, max_rows=3) and not fits(dim, max_bytes=8)
-    small = lookup(rows, dim, "term", ["ticket_id"], how)
-    large = lookup(rows, dim, "term", ["ticket_id"], how, max_rows=0, salts=5)
-    assert large.columns == small.columns
-    assert sorted(map(repr, large.collect())) == sorted(map(repr, small.collect()))
+    assert [r["term"] for r in heavy_keys(rows, "term", 100).collect()] == ["hot"]
+    assert heavy_keys(rows, "term", 0, most=10).count() == 1 and heavy_keys(rows, "term").count() == 0
+    small = lookup(rows, dim, "term", how)
+    for heavy_rows in (100, 0, 10_000):
+        large = lookup(rows, dim, "term", how, max_rows=0, heavy_rows=heavy_rows)
+        assert large.columns == small.columns
+        assert sorted(map(repr, large.collect())) == sorted(map(repr, small.collect()))
+
+
+def test_heavy_words_are_not_shuffled_to_the_dimension(spark):
+    rows = spark.range(3000).select(F.lit("hot").alias("term"), F.col("id"))
+    dim = spark.range(500).select(F.concat(F.lit("k"), "id").alias("term"), F.col("id").alias("v"))
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        lookup(rows, dim, "term", max_rows=0, heavy_rows=100).explain("formatted")
+    assert "BroadcastHashJoin LeftSemi" in out.getvalue() and "BroadcastHashJoin LeftAnti" in out.getvalue()
+    assert "_salt" not in out.getvalue()
+
+
+def test_words_are_counted_inside_the_row(spark):
+    texts = ["b a B c b", "", None, "...", "x", "é É e"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id INT, text STRING")
+    got = sorted(tuple(r) for r in word_counts(df, "text", ["id"], "w").collect())
+    assert got == [(0, "a", 1), (0, "b", 3), (0, "c", 1), (4, "x", 1), (5, "e", 1), (5, "é", 2)]
+    assert "Exchange" not in word_counts(df, "text", ["id"], "w")._jdf.queryExecution().toString()
 
 
 def test_sentiment_labels(spark):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # What Unicode-aware regular expressions call white space and
@@ -63,6 +65,22 @@ def tokens(c: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(c, F.lit(""))), TOKEN_BREAK), "")
 
 
+def word_counts(df: DataFrame, text: str, keys: Sequence[str], name: str) -> DataFrame:
+    """(keys, ``name``, n): how often each token occurs in each row's text.
+
+    Counted inside the row, so nothing is shuffled and a word is one row per text.
+    """
+    runs = df.select(*keys, F.array_sort(tokens(F.col(text))).alias("_w"))
+    ends = F.expr("filter(sequence(1, size(_w)), i -> i = size(_w) OR _w[i] <> _w[i - 1])")
+    placed = runs.where(F.size("_w") > 0).withColumn("_ends", ends)
+    # An inner explode adds a filter with its whole input, which would sort the words anew for each of them.
+    each = F.explode_outer(
+        F.expr("transform(_ends, (e, j) -> struct(_w[e - 1] AS word, CAST(e - IF(j = 0, 0, _ends[j - 1]) AS bigint) AS n))")
+    )
+    found = placed.select(*keys, each.alias("_c")).where(F.col("_c").isNotNull())
+    return found.select(*keys, F.col("_c.word").alias(name), F.col("_c.n").alias("n"))
+
+
 def sentences(c: Column) -> Column:
     return F.split(F.coalesce(c, F.lit("")), SENTENCE_BREAK)
 

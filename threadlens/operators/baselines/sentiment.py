@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadlens.functions.labels import NO_VALUE
-from threadlens.functions.text import tokens
+from threadlens.functions.text import word_counts
 from threadlens.operators.joins import lookup
 
 
@@ -25,14 +25,14 @@ def lexicon_sentiment(
 ) -> DataFrame:
     """Add ``sentiment_score``, ``sentiment`` and ``sentiment_explanation``.
 
-    Word hits are summed inside each task, so the shuffle carries numbers only.
+    A word of a text is counted inside its row and looked up once.
     A text without hits scores 0; a missing or empty text has no sentiment.
     """
-    words = df.select(key, F.explode(tokens(F.col(text))).alias("word"))
+    words = word_counts(df, text, [key], "word")
     scores = (
-        lookup(words, lexicon, "word", spread=[key])
+        lookup(words, lexicon, "word")
         .groupBy(key)
-        .agg(F.sum("score").alias("sentiment_score"), F.count(F.lit(1)).alias("_hits"))
+        .agg(F.sum(F.col("score") * F.col("n")).alias("sentiment_score"), F.sum("n").alias("_hits"))
     )
     missing = F.coalesce(F.col(text) == "", F.lit(True))
     score = F.coalesce("sentiment_score", F.lit(0)).cast("bigint")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadlens.functions.text import sentences, strip, tokens
+from threadlens.functions.text import sentences, strip, word_counts
 from threadlens.operators.baselines.retrieval import KnowledgeIndex
 from threadlens.operators.joins import lookup
 
@@ -21,13 +21,13 @@ def top_sentences(comments: DataFrame, index: KnowledgeIndex) -> DataFrame:
     """
     body = sentences(F.col("plain_body"))
     place = ["ticket_id", "pos", "sentence_no"]
-    words = comments.select(
-        "ticket_id", "pos", F.posexplode(body).alias("sentence_no", "sentence")
-    ).select(*place, F.explode(tokens(F.col("sentence"))).alias("term"))
+    split = comments.select("ticket_id", "pos", F.posexplode(body).alias("sentence_no", "sentence"))
+    words = word_counts(split, "sentence", place, "term")
+    rarity = F.sum(F.coalesce("idf", index.unknown_idf) * F.col("n")) / F.sum("n")
     best = (
-        lookup(words, index.vocabulary, "term", spread=place, how="left")
+        lookup(words, index.vocabulary, "term", "left")
         .groupBy(*place)
-        .agg(F.round(F.avg(F.coalesce("idf", index.unknown_idf)), 6).alias("rarity"))
+        .agg(F.round(rarity, 6).alias("rarity"))
         .groupBy("ticket_id")
         .agg(F.min(F.struct((-F.col("rarity")).alias("r"), "pos", "sentence_no")).alias("b"))
         .select("ticket_id", "b.pos", "b.sentence_no")
