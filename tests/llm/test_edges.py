@@ -150,10 +150,31 @@ def test_chat_parts(spark):
         (0, 1, "image", "a.png", 85 + 170 * 4), (0, 3, "audio", "b.wav", 50)
     ]
     assert got[1]["expanded_tokens"] == 815 and got[None]["expanded_tokens"] == 1800
-    assert [tuple(t) for t in got[1]["turns"]] == [
-        ("user", "see <|end|> \\p<|image 0.1|> and <|audio 0.3|>"), ("assistant", "<|turn user|>\n\\b|"), ("", "")
-    ]
+    first, second, third = got[1]["turns"]
+    assert (first["role"], first["text"]) == ("user", "see <|end|> \\p and ")
+    assert [tuple(p) for p in first["parts"]] == [("text", "see <|end|> \\p", 0), ("image", "", 1), ("text", " and ", 2), ("audio", "", 3)]
+    assert [tuple(p) for p in second["parts"]] == [("text", "<|turn user|>\n\\b|", 0)] and (third["role"], third["text"]) == ("", "")
     assert got[1]["loss"] == "<|turn user|>\n\\b|"
+    assert [tuple(p) for p in got[None]["turns"][0]["parts"]] == [("document", "", 0), ("text", "", 1)]
+
+
+def test_chat_parts_keep_all_text(spark):
+    """Null kinds, null parts, captions, neighbouring texts, odd kinds and texts that look like placeholders."""
+    part = lambda kind, text=None, ref=None: (kind, text, ref, None, None, None, None)
+    parts = [part(None, "lost text"), part("text", "a <|part image 0.1|> b"), part("image", "caption|", "a.png"), None,
+             part("end", "x"), part("turn a", "y", "r"), part("text", None), part("te|xt\\", "<|end|>")]
+    rows = [(1, 0, "assistant", parts), (1, 1, "user", [part("image", None, "first")]), (1, 2, "assistant", None)]
+    chats = chat.format_chats(spark.createDataFrame(rows, f"conv_id LONG, turn INT, role STRING, parts array<{chat.PART}>"))
+    r = chats.withColumn("turns", chat.read_turns()).withColumn("loss", chat.read_loss()).first()
+    assert [tuple(p) for p in r["turns"][0]["parts"]] == [
+        ((p and p[0]) or "text", (p and p[1]) or "", i) for i, p in enumerate(parts)
+    ]
+    assert [tuple(p) for p in r["turns"][1]["parts"]] == [("image", "", 0)]
+    assert [tuple(p) for p in r["turns"][2]["parts"]] == [("text", "", 0)]
+    assert [(a["turn"], a["part"], a["kind"], a["ref"]) for a in r["attachments"]] == [
+        (0, 2, "image", "a.png"), (0, 4, "end", None), (0, 5, "turn a", "r"), (0, 7, "te|xt\\", None), (1, 0, "image", "first")
+    ]
+    assert r["loss"] == "lost texta <|part image 0.1|> bcaption|xy<|end|>"
 
 
 def test_pipeline_stages(spark, tmp_path):

@@ -2,9 +2,10 @@
 
 A message is a list of parts: text, image, audio or document. Parts are visited in
 order; text is escaped, any other part becomes an ordered placeholder with an attachment
-reference and the number of tokens it expands to. Control strings are `<|turn ROLE|>`,
-`<|end|>` and `<|KIND TURN.PART|>`. Inside roles and texts a backslash becomes `\\b` and a
-bar `\\p`, so no control string can occur there and the original can be read back.
+reference and the number of tokens it expands to, followed by its own text, if it has one.
+Control strings are `<|turn ROLE|>`, `<|end|>` and `<|part KIND TURN.PART|>`, which stands before
+every part but a leading text. Inside roles, kinds and texts a backslash becomes `\\b` and a
+bar `\\p`, so no control string can occur there and the parts can be read back one by one.
 """
 
 from __future__ import annotations
@@ -51,6 +52,11 @@ def expansion(part: str) -> str:
     )
 
 
+def kind_of(part: str) -> str:
+    """A part without a kind, or a missing part, is text."""
+    return f"coalesce({part}.kind, 'text')"
+
+
 def format_chats(messages: DataFrame) -> DataFrame:
     """One row per conversation of (conv_id, turn, role, parts).
 
@@ -60,7 +66,8 @@ def format_chats(messages: DataFrame) -> DataFrame:
     expanded_tokens  what all attachments expand to
 
     Turns are ordered by turn, nulls last, then role, then parts; equal rows all stay. A
-    null role is empty, null parts are none, a null text is empty. Rows with a null
+    null role is empty, null parts are none, a null text is empty, a null kind is text: the text of
+    any part is kept. Placeholders are never learned, texts of the assistant are. Rows with a null
     conv_id make one conversation. A conversation is one string, so its size is bounded by
     the conversation, as its order demands.
     """
@@ -72,22 +79,28 @@ def format_chats(messages: DataFrame) -> DataFrame:
         F.coalesce("parts", F.array().cast(f"array<{PART}>")).alias("parts"),
     )
     chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(ordered)).alias("turns"))
+    marker = (
+        f"if(j = 0 AND {kind_of('p')} = 'text', '', "
+        f"concat('<|part ', {escaped(kind_of('p'))}, ' ', k, '.', j, '|>'))"
+    )
     content = (
-        "array_join(transform(t.parts, (p, j) -> if(p.kind = 'text', "
-        f"{escaped('coalesce(p.text, \'\')')}, concat('<|', {escaped('p.kind')}, ' ', k, '.', j, '|>'))), '')"
+        "flatten(transform(t.parts, (p, j) -> array("
+        f"named_struct('text', {marker}, 'loss', false), "
+        f"named_struct('text', {escaped('coalesce(p.text, \'\')')}, 'loss', t.role = '{LOSS_ROLE}'))))"
     )
     segments = (
-        "flatten(transform(turns, (t, k) -> array("
-        f"named_struct('text', concat('<|turn ', {escaped('t.role')}, '|>\\n'), 'loss', false), "
-        f"named_struct('text', {content}, 'loss', t.role = '{LOSS_ROLE}'), "
-        "named_struct('text', '<|end|>\\n', 'loss', false))))"
+        "flatten(transform(turns, (t, k) -> concat(array("
+        f"named_struct('text', concat('<|turn ', {escaped('t.role')}, '|>\\n'), 'loss', false)), "
+        f"{content}, array(named_struct('text', '<|end|>\\n', 'loss', false)))))"
     )
     references = (
-        "filter(flatten(transform(turns, (t, k) -> transform(t.parts, (p, j) -> if(p.kind = 'text', NULL, "
+        f"filter(flatten(transform(turns, (t, k) -> transform(t.parts, (p, j) -> if({kind_of('p')} = 'text', NULL, "
         f"named_struct('turn', k, 'part', j, 'kind', p.kind, 'ref', p.ref, 'tokens', {expansion('p')}))))), "
         "a -> a IS NOT NULL)"
     )
-    built = chats.select("conv_id", F.expr(segments).alias("segments"), F.expr(references).alias("attachments"))
+    built = chats.select(
+        "conv_id", F.expr(f"filter({segments}, s -> s.text <> '')").alias("segments"), F.expr(references).alias("attachments")
+    )
     return built.select(
         "conv_id",
         F.expr("array_join(transform(segments, s -> s.text), '')").alias("formatted"),
@@ -98,16 +111,27 @@ def format_chats(messages: DataFrame) -> DataFrame:
 
 
 def read_turns(formatted: str = "formatted") -> Column:
-    """array<struct<role, text>> read back from a formatted conversation.
+    """array<struct<role, text, parts>> read back from a formatted conversation.
 
-    Placeholders stay in the text as they are; a text is unescaped otherwise.
+    `parts` has (kind, text, part) of every part, the last its place, by which `attachments` adds
+    reference and tokens; `text` is all texts of the turn. A message without parts reads as one empty text.
     """
-    text = unescaped("substring_index(substr(piece, instr(piece, '|>') + 3), '<|end|>', 1)")
+    body = "substring_index(substr(piece, instr(piece, '|>') + 3), '<|end|>', 1)"
     role = unescaped("substring_index(piece, '|>', 1)")
-    return F.expr(
-        f"transform(filter(split({formatted}, '<\\\\|turn ', -1), (piece, k) -> k > 0), "
-        f"piece -> named_struct('role', {role}, 'text', {text}))"
+    # What follows a marker's beginning: KIND TURN.PART|>TEXT.
+    marker, number = "substring_index(x, '|>', 1)", "substring_index(substring_index(x, '|>', 1), ' ', -1)"
+    kind = f"substr({marker}, 1, length({marker}) - length({number}) - 1)"
+    marked = (
+        f"transform(slice(cut, 2, size(cut)), x -> named_struct('kind', {unescaped(kind)}, "
+        f"'text', {unescaped('substr(x, instr(x, \'|>\') + 2)')}, 'part', int(substring_index({number}, '.', -1))))"
     )
+    leading = f"named_struct('kind', 'text', 'text', {unescaped('cut[0]')}, 'part', 0)"
+    parts = f"if(size(cut) > 1 AND substring_index({marker.replace('(x', '(cut[1]')}, '.', -1) = '0', {marked}, concat(array({leading}), {marked}))"
+    whole = "array_join(transform(parts, p -> p.text), '')"
+    cuts = f"transform(array({body}), y -> split(y, '<\\\\|part ', -1))"
+    read = f"transform({cuts}, cut -> {parts})[0]"
+    told = f"transform(array({read}), parts -> named_struct('role', {role}, 'text', {whole}, 'parts', parts))[0]"
+    return F.expr(f"transform(filter(split({formatted}, '<\\\\|turn ', -1), (piece, k) -> k > 0), piece -> {told})")
 
 
 def read_loss(segments: str = "segments") -> Column:

@@ -126,6 +126,55 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_cha
 FROM c
 """
 
+OP6_PARTS = r"""
+WITH m AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text) AS k
+  FROM conversations
+),
+p AS (
+  SELECT *, CAST(conv_id AS VARCHAR) || '-' || turn AS name, CASE WHEN turn % 2 = 0 THEN role ELSE '' END AS caption FROM m
+),
+t AS (
+  SELECT conv_id, k, role, text,
+    role || chr(10) || 'text|' || substr(text, 1, 5) || '|-' || chr(10) || 'image|' || caption || '|' || name || chr(10)
+      || 'text|' || substr(text, 6) || '|-' || chr(10) || CASE WHEN turn % 3 = 0 THEN 'audio' ELSE 'document' END || '||' || name || chr(10) AS told,
+    substr(text, 1, 5) || caption || substr(text, 6) AS said,
+    85 + 170 * greatest(1, ceil(300 * turn / 512)) * 2
+      + CASE WHEN turn % 3 = 0 THEN ceil(greatest(1.5 * turn, 0) * 25) ELSE 600 * greatest(turn, 1) END AS tokens
+  FROM p
+)
+SELECT conv_id, count(*) AS n_turns, 2 * count(*) AS n_attachments, CAST(sum(tokens) AS BIGINT) AS expanded_tokens,
+  sha256(string_agg(told, '' ORDER BY k)) AS parts_sha256,
+  sha256(coalesce(string_agg(said, '' ORDER BY k) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256
+FROM t GROUP BY conv_id
+"""
+
+OP13 = r"""
+WITH terms AS (
+  SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents
+),
+size AS (SELECT count(*) AS n_docs, sum(len(t))::BIGINT AS n_terms FROM terms WHERE len(t) > 0),
+tf AS (SELECT doc_id, row, n, term, count(*) AS tf FROM (SELECT doc_id, row, len(t) AS n, unnest(t) AS term FROM terms) GROUP BY ALL),
+weight AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), size
+),
+item AS (
+  SELECT item_id, row, term, count(*) AS times FROM (
+    SELECT item_id, row_number() OVER () AS row, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL
+),
+scored AS (
+  SELECT item_id, i.row AS item, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM item i JOIN weight USING (term) JOIN tf ON tf.term = i.term, size
+  GROUP BY item_id, i.row, doc_id, tf.row
+)
+SELECT item_id, CAST(row_number() OVER o AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0
+WINDOW o AS (PARTITION BY item ORDER BY score DESC, doc_id) QUALIFY row_number() OVER o <= 10
+"""
+
 OP9 = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS body, {WORDS} AS w FROM documents),
 words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
@@ -169,5 +218,7 @@ ORACLE = {
     "op3_substring_dedup": OP3,
     "op5_secret_scan": OP5,
     "op6_chat_format": OP6,
+    "op6_chat_parts": OP6_PARTS,
+    "op13_lexical_search": OP13,
     "op9_quality": OP9,
 }

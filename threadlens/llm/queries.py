@@ -78,6 +78,37 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def mixed_parts() -> str:
+    """Parts of every kind from a row of conversations; some have no kind, some a caption."""
+    part = "named_struct('kind', {}, 'text', {}, 'ref', {}, 'width', {}, 'height', {}, 'seconds', {}, 'pages', {})".format
+    name = "concat(conv_id, '-', turn)"
+    parts = [
+        part("'text'", "substr(text, 1, 5)", *["NULL"] * 5),
+        part("'image'", "if(turn % 2 = 0, role, NULL)", name, "int(300 * turn)", "700", "NULL", "NULL"),
+        part("NULL", "substr(text, 6)", *["NULL"] * 5),
+        part("if(turn % 3 = 0, 'audio', 'document')", "NULL", name, "NULL", "NULL", "1.5D * turn", "int(turn)"),
+    ]
+    return f"CAST(array({', '.join(parts)}) AS array<{chat.PART}>)"
+
+
+@query("op6_chat_parts")
+def op6_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mixed parts of all conversations, read back part by part with their references."""
+    rows = pick(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+    chats = chat.format_chats(rows.withColumn("parts", F.expr(mixed_parts()))).withColumn("turns", chat.read_turns())
+    refs = "map_from_entries(transform(attachments, a -> struct(concat(a.turn, '.', a.part), a.ref)))"
+    part = "concat(p.kind, '|', p.text, '|', coalesce(try_element_at(refs, concat(k, '.', p.part)), '-'), '\n')"
+    told = f"array_join(flatten(transform(turns, (t, k) -> concat(array(concat(t.role, '\n')), transform(t.parts, p -> {part})))), '')"
+    return chats.withColumn("refs", F.expr(refs)).select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.size("attachments").cast("long").alias("n_attachments"),
+        "expanded_tokens",
+        sha256_hex(F.expr(told)).alias("parts_sha256"),
+        sha256_hex(chat.read_loss()).alias("loss_sha256"),
+    )
+
+
 @query("op7_source_mix")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mixed_documents(table(spark, sf_dir, "documents"))
