@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from threadlens.llm.common import pick, raw_texts, sha256_hex
 from threadlens.sources.shared import materialise
@@ -35,7 +36,7 @@ FOLD = bytes(
     for c in range(256)
 )
 
-Items = tuple[tuple[int | None, bytes], ...]
+Items = tuple[tuple[object, bytes], ...]
 
 
 def folded_words(text: bytes | None) -> list[bytes]:
@@ -120,7 +121,7 @@ def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterato
     A text longer than a block comes in parts under the same item_id.
     """
     items = pick(benchmark, "item_id", "text").where(F.col("text").isNotNull()).distinct()
-    held: list[tuple[int | None, bytes]] = []
+    held: list[tuple[object, bytes]] = []
     size = 0
     for row in materialise(items, "benchmark-items").toLocalIterator():
         for text in item_parts(row["text"].encode("utf-8"), block_bytes):
@@ -141,6 +142,8 @@ def scan(rows: DataFrame, sent: Broadcast[Items], keep: tuple[str, ...] = ()) ->
 
     hits holds merged word ranges with their byte offsets in the original text.
     """
+    ids_type = rows.schema["item_ids"].dataType
+    ids_arrow = to_arrow_type(ids_type)
     carried = ", ".join(f"{name} {rows.schema[name].dataType.simpleString()}" for name in ("doc_id", "text", *keep))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,12 +172,12 @@ def scan(rows: DataFrame, sent: Broadcast[Items], keep: tuple[str, ...] = ()) ->
                     *map(batch.column, ("doc_id", "text", *keep)),
                     pa.array(counts, pa.int64()),
                     pa.array(hits, pa.list_(PLACE_TYPE)),
-                    pa.array(owners, pa.list_(pa.int64())),
+                    pa.array(owners, ids_arrow),
                 ],
                 ["doc_id", "text", *keep, "n_words", "hits", "item_ids"],
             )
 
-    return rows.mapInArrow(find, f"{carried}, n_words long, hits array<{PLACE}>, item_ids array<long>")
+    return rows.mapInArrow(find, f"{carried}, n_words long, hits array<{PLACE}>, item_ids {ids_type.simpleString()}")
 
 
 def find_contamination(
@@ -190,6 +193,7 @@ def find_contamination(
     Repeated rows each give a row. With an empty benchmark nothing is hit.
     """
     found = pick(documents, "doc_id", "text", *keep)
+    kind = pick(benchmark, "item_id").schema["item_id"].dataType.simpleString()
     sent: list[Broadcast[Items]] = []
     for items in item_blocks(benchmark, block_bytes):
         if len(sent) == BLOCKS_AT_ONCE:
@@ -199,7 +203,7 @@ def find_contamination(
                 sent.pop().destroy()
         sent.append(documents.sparkSession.sparkContext.broadcast(items))
         if "hits" not in found.columns:
-            nothing = {"hits": F.array().cast(f"array<{PLACE}>"), "item_ids": F.array().cast("array<long>")}
+            nothing = {"hits": F.array().cast(f"array<{PLACE}>"), "item_ids": F.array().cast(f"array<{kind}>")}
             found = found.withColumns(nothing)
         found = scan(found.select("doc_id", "text", *keep, "hits", "item_ids"), sent[-1], keep)
     covered = F.aggregate("hits", F.lit(0).cast("long"), lambda n, h: n + h["end_word"] - h["first_word"])

@@ -33,9 +33,14 @@ SLOTS_PER_CHUNK = 10_000
 
 
 def document_sizes(documents: DataFrame) -> DataFrame:
-    """(doc_id, source, size): words of each text, 0 for null."""
+    """(doc_id, source, size, mark): words of each text, 0 for null, and its place in its source's stream.
+
+    The mark is the MD5 of the id, or of the text where there is no id, so that such rows are spread.
+    """
     size = F.expr(f"CAST(regexp_count(coalesce(text, ''), {quoted(WORD)}) AS bigint)")
-    return pick(documents, "doc_id", "source", "text").select("doc_id", "source", size.alias("size"))
+    named = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
+    rows = pick(documents, "doc_id", "source", "text")
+    return rows.select("doc_id", "source", size.alias("size"), F.md5(named.cast("binary")).alias("mark"))
 
 
 def source_targets(
@@ -80,11 +85,10 @@ def keyed(rows: DataFrame) -> DataFrame:
 def placed_documents(sizes: DataFrame, digits: int = BUCKET_DIGITS) -> DataFrame:
     """sizes with `key` and `start`, a document's first word in its source's stream.
 
-    Streams are ordered by the id's MD5. Sums of buckets of that hash come first, so no
+    Streams are ordered by the documents' marks. Sums of buckets of that hash come first, so no
     task ever orders a whole source; raise `digits` with the number of documents.
     """
-    rows = keyed(sizes).withColumn("mark", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
-    rows = rows.withColumn("bucket", F.substring("mark", 1, digits))
+    rows = keyed(sizes).withColumn("bucket", F.substring("mark", 1, digits))
     sums = rows.groupBy("key", "bucket").agg(F.sum("size").alias("own"))
     earlier = W.partitionBy("key").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     bases = sums.select("key", "bucket", F.coalesce(F.sum("own").over(earlier), F.lit(0)).alias("base"))

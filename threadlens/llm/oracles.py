@@ -213,6 +213,15 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, few
 FROM bits
 """
 
+#: Rule names of policy default-1 and the columns of their bits above.
+ABLATED = {"few_words": "few", "repeated_words": "rep", "word_length": "odd", "symbols": "sym", "duplicate_lines": "dup", "few_letters": "bare"}
+OP9_ABLATIONS = OP9[: OP9.rindex("SELECT doc_id, n_words")] + " UNION ALL ".join(
+    f"""(SELECT '{rule}' AS rule, CAST(count(*) FILTER (WHERE {own}) AS BIGINT) AS n_failed,
+    CAST(count(*) FILTER (WHERE {own} AND NOT ({' OR '.join(o for o in ABLATED.values() if o != own)})) AS BIGINT) AS n_failed_alone,
+    CAST(count(*) FILTER (WHERE NOT ({' OR '.join(o for o in ABLATED.values() if o != own)})) AS BIGINT) AS n_kept_without FROM bits)"""
+    for rule, own in ABLATED.items()
+)
+
 ORACLE = {
     "op2_decontaminate": OP2,
     "op3_substring_dedup": OP3,
@@ -221,4 +230,5 @@ ORACLE = {
     "op6_chat_parts": OP6_PARTS,
     "op13_lexical_search": OP13,
     "op9_quality": OP9,
+    "op9_quality_ablations": OP9_ABLATIONS,
 }

@@ -240,20 +240,18 @@ def near_duplicates(
     return rows.join(by_print, "fp").select("doc_id", *keep, "fp", "root", "component_id")
 
 
-def kept_rows(documents: DataFrame) -> DataFrame:
-    """(doc_id, mark): one row of each component, by id and MD5 of the text.
+def survivors(rows: DataFrame) -> DataFrame:
+    """One row of each component, with all of its columns, from rows of doc_id, text and others.
 
-    It is the row with the smallest id, nulls last, and of rows that share the id the
-    one with the smallest mark. Rows equal in both are one row here.
+    It is the row with the smallest id, nulls last, and of rows that share the id the first by
+    the MD5 of all columns, so neither the order of rows nor a task that runs again matters.
+    Rows equal in every column are one row here.
     """
-    marked = pick(documents, "doc_id", "text").withColumn("mark", text_mark("text"))
-    found = near_duplicates(marked, keep=("mark",))
+    marked = rows.withColumn("mark", F.md5(F.to_json(F.struct(*rows.columns)).cast("binary")))
+    found = near_duplicates(marked.select("doc_id", "text", "mark"), keep=("mark",))
     first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("mark"))).alias("first")
-    return found.groupBy("root").agg(first).select("first.doc_id", "first.mark")
-
-
-def text_mark(text: str) -> Column:
-    return F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    chosen = found.groupBy("root").agg(first).select(F.col("first.mark").alias("mark"))
+    return marked.join(chosen, "mark").dropDuplicates(["mark"]).drop("mark")
 
 
 def hexadecimal(fp: str = "fp"):
