@@ -49,10 +49,7 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each SimHash component."""
-    key = lambda: F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("mark"))
-    chosen = simhash.kept_rows(docs).select(key().alias("key"))
-    rows = wrapped(docs).withColumn("mark", simhash.text_mark("text")).withColumn("key", key())
-    return unwrapped(rows.join(chosen, "key").dropDuplicates(["key"]), docs)
+    return unwrapped(simhash.survivors(wrapped(docs)), docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
