@@ -1,6 +1,8 @@
 """Baselines against brute force, and both ways of every size-dependent join."""
 
 import collections
+import contextlib
+import io
 import math
 import random
 import re
@@ -75,10 +77,10 @@ def test_questions_meet_few_blocks_and_articles(spark):
     postings = retrieval.build_index(articles).weights().withColumn("band", retrieval.band_of(F.col("weight"))).cache()
     bounds = retrieval.with_bounds(retrieval.question_terms(questions, "customer_issue"), postings).cache()
     blocks = retrieval.wanted_blocks(bounds, retrieval.floors(bounds, postings))
-    every = bounds.join(postings.select("term", "band").distinct(), "term").count()
-    assert blocks.count() * 2 < every
+    every = 120 * postings.select("term", "band").distinct().count()
+    assert blocks.count() * 100 < every
     met = blocks.join(postings, ["term", "band"]).where("weight >= need").select("question", "doc_id").distinct().count()
-    assert met * 20 < 120 * 1500
+    assert met * 5 < 120 * 1500, met
     best = {r["ticket_id"]: r["doc_id"] for r in retrieval.best_articles(questions, retrieval.build_index(articles)).collect()}
     assert all(best[q] == q * 7 for q in range(120))
 
