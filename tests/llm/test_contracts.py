@@ -1,11 +1,13 @@
 """Registered queries against brute force on the small tables."""
 
+import math
 from collections import Counter, defaultdict
 
 import brute
+import numpy as np
 import pytest
 
-from threadlens.llm import substrings
+from threadlens.llm import langid, substrings
 from threadlens.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -145,3 +147,32 @@ def test_substrings(spark, documents, crowd):
         r = got[d["doc_id"]]
         assert (r["n_words"], r["n_removed"], r["kept_sha256"]) == expected, d["doc_id"]
     assert sum(w[1] > 0 for w in want) > 10
+
+
+def test_language_kernel_against_its_definition(documents, monkeypatch):
+    """Scores recomputed from sets of n-grams and the dual form of ridge regression."""
+    monkeypatch.setattr(langid, "LANDMARKS_PER_LANGUAGE", 6)
+    rows = [d for d in documents if d["lang"] and d["text"] and d["text"].strip()][:90]
+    folded = [d["text"].translate(brute.UPPER).encode() for d in rows]
+    sets = [{t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)} for t in folded]
+    codes = [np.unique(langid.gram_codes(np.frombuffer(d["text"].encode(), np.uint8))) for d in rows]
+    learned, labels = 60, [d["lang"] for d in rows]
+    languages = sorted(set(labels[:learned]))
+    model = langid.fit(languages, codes[:learned], labels[:learned])
+
+    def spelled(code):
+        return (code - (1 << 17)).to_bytes(3) if code >= 1 << 17 else (code - 256).to_bytes(2) if code >= 256 else bytes([code])
+
+    known = {spelled(int(c)) for c in model.grams}
+    sets = [s & known for s in sets]
+    kernel = lambda a, b: len(a & b) / math.sqrt(max(len(a), 1) * max(len(b), 1))
+    landmarks = [i for k in languages for i in [j for j in range(learned) if labels[j] == k][:6]]
+    cross = np.array([[kernel(sets[i], sets[j]) for j in landmarks] for i in range(len(rows))])
+    among = np.linalg.pinv(cross[landmarks], rcond=1e-6, hermitian=True)
+    weigh = np.sqrt([1 / labels[:learned].count(x) for x in labels[:learned]])[:, None]
+    wanted = np.array([[x == k for k in languages] for x in labels[:learned]], float)
+    left = cross[:learned] * weigh
+    dual = np.linalg.solve(left @ among @ left.T + langid.RIDGE * np.eye(learned), weigh * wanted)
+    want = cross @ among @ left.T @ dual
+    got = model.scores(langid.presence_rows([np.frombuffer(d["text"].encode(), np.uint8) for d in rows], model.lookup(), len(model.grams)))
+    assert np.abs(got - want).max() < 1e-3 and (got.argmax(1) == want.argmax(1)).all()
