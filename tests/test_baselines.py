@@ -75,7 +75,7 @@ def test_questions_meet_few_blocks_and_articles(spark):
     asked = [(q, " ".join(rng.sample(common, 12) + rng.sample(texts[q * 7].split()[60:], 6))) for q in range(120)]
     questions = spark.createDataFrame(asked, "ticket_id BIGINT, customer_issue STRING")
     postings = retrieval.build_index(articles).weights().withColumn("band", retrieval.band_of(F.col("weight"))).cache()
-    bounds = retrieval.with_bounds(retrieval.question_terms(questions, "customer_issue"), postings).cache()
+    bounds = retrieval.with_bounds(retrieval.question_terms(retrieval.numbered_questions(questions, "customer_issue")), postings).cache()
     blocks = retrieval.wanted_blocks(bounds, retrieval.floors(bounds, postings))
     every = 120 * postings.select("term", "band").distinct().count()
     assert blocks.count() * 100 < every
