@@ -52,13 +52,7 @@ def test_mix_is_made(spark):
     held = lambda r: min(mixing.BLOCK_WORDS, size[r["key"]] - mixing.BLOCK_WORDS * r["block_index"])
     used = {r["slot"]: (r["key"], min(r["used"], held(r)), r["shard"]) for r in slots.collect()}
     assert sorted(used) == list(range(len(used))) and all(v[2] == k // 50 for k, v in used.items())
-    drawn = Counter()
-    shards = Counter()
-    for r in mixing.draws(slots).collect():
-        drawn[r["key"]] += r["n"]
-        shards[r["shard"]] += r["n"]
-    assert drawn == Counter(v[0] for v in used.values())
-    assert all(n == min(50, len(used) - 50 * shard) for shard, n in shards.items())
+    drawn = Counter(v[0] for v in used.values())
     for source, t in targets.items():
         words = sum(v[1] for v in used.values() if v[0] == f"={source}")
         # A short last block, at most once an epoch, makes more slots than the words would fill.
@@ -84,6 +78,33 @@ def test_mix_is_made(spark):
     assert {r["doc_id"]: r["taken"] for r in QUERIES["op7_source_mix"](spark, SF).collect()} == {k: taken[k] for k in texts}
 
 
+def test_shards_draw_their_sources(spark):
+    """Counts by shard spread as multinomial draws do, numbers of a source are its slots, each once."""
+    wanted = {0: 30_000, 1: 9_000, 2: 0, 3: 20_000, 4: 1_000}
+    total = sum(wanted.values())
+    rows = [(p, n, sum(wanted[q] for q in wanted if q < p)) for p, n in wanted.items() if n]
+    plan = spark.createDataFrame(rows, "place LONG, n_slots LONG, first LONG")
+    drawn = {(r["shard"], r["place"]): r["n"] for r in mixing.draws(mixing.seats(plan, total, 500)).collect()}
+    shards = total // 500
+    assert all(sum(drawn.get((shard, p), 0) for p in wanted) == 500 for shard in range(shards))
+    for place, n in wanted.items():
+        share = n / total
+        counts = [drawn.get((shard, place), 0) for shard in range(shards)]
+        mean = sum(counts) / shards
+        spread = sum((c - mean) ** 2 for c in counts) / shards
+        assert abs(mean - 500 * share) <= 5 * (500 * share * (1 - share) / shards) ** 0.5
+        assert not n or 0.6 < spread / (500 * share * (1 - share)) < 1.6
+    given = mixing.numbered(plan, total, 500).collect()
+    assert sorted(r["slot"] for r in given) == list(range(total))
+    assert all(r["shard"] == r["slot"] // 500 for r in given)
+    for place, n in wanted.items():
+        assert sorted(r["j"] for r in given if r["place"] == place) == list(range(n))
+    # Only what was drawn too often is given away.
+    kept = Counter((r["shard"], r["place"]) for r in given)
+    over = sum(max(0, sum(drawn.get((s, p), 0) for s in range(shards)) - n) for p, n in wanted.items())
+    assert sum(max(0, n - kept[at]) for at, n in drawn.items()) <= over
+
+
 def test_queries_write_the_mix(spark, monkeypatch):
     """The query and the pipeline's last stage make the ordered mix itself, not only its bookkeeping."""
     import corpus_pipeline

@@ -1,9 +1,11 @@
 """Mixing sources to target weights by blocks of words.
 
 Each source is a stream of its documents' words, packed into blocks of fixed length. The
-output is a sequence of slots, cut into shards. How many slots of a shard each source
-gets is a multinomial draw, conditioned on the totals that meet the targets: all
-slots of the run are shuffled once. A source's slots run through its blocks in
+output is a sequence of slots, cut into shards. Every slot draws a source by the sources'
+shares of all slots, so a shard's counts are a multinomial draw; a source's slots are
+numbered from these counts. Over all shards a source may be drawn a little too often or too
+seldom (about the root of its slots); so many of its slots, found by a permutation over all
+shards, go to the sources that lack them. A source's numbers run through its blocks in
 a pseudorandom order, epoch by epoch, and blocks are joined to slots by index. The last
 slot of a source is cut short, so that a source gives exactly its rounded target.
 
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 
 from threadlens.llm.common import WORD, pick
 from threadlens.llm.secrets import quoted
+from threadlens.operators.running import running_total
 from threadlens.sources.shared import materialise
 
 WEIGHTS = (3, 1, 2)
@@ -29,7 +32,7 @@ BLOCK_WORDS = 128
 SHARD_SLOTS = 4096
 ROUNDS = 12
 BUCKET_DIGITS = 3
-SLOTS_PER_CHUNK = 10_000
+LEAST_BUCKETS = 64
 
 
 def document_sizes(documents: DataFrame) -> DataFrame:
@@ -52,22 +55,22 @@ def source_targets(
     words. A source's target stops at `most` times its size and the excess is shared
     anew by weight: targets are least(cap, level * weight), and the level that uses all
     up is the highest of the levels that follow from the sources in order of cap over
-    weight. The windows run over one row per source.
+    weight. Places and sums over sources are running totals, as sources may be many.
     """
     sums = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    placed = sums.withColumn("place", F.row_number().over(W.orderBy(F.asc_nulls_last("source"))) - 1)
+    sums = sums.withColumns({"unnamed": F.col("source").isNull(), "one": F.lit(1).cast("long")})
+    placed = running_total(sums, ["unnamed", "source"], "one", "place")
     turn = F.array(*map(F.lit, weights))
-    placed = placed.withColumn("weight", F.get(turn, F.pmod("place", F.lit(len(weights)))))
-    cap = (F.col("source_size") * most).cast("double")
-    everything = W.partitionBy()
-    order = W.orderBy(F.col("cap") / F.col("weight"), "place")
-    before = order.rowsBetween(W.unboundedPreceding, -1)
-    level = (
-        F.sum("source_size").over(everything) * F.lit(share) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
-    ) / F.sum("weight").over(order.rowsBetween(0, W.unboundedFollowing))
-    levels = placed.withColumn("cap", cap).withColumn("level", level)
-    target = F.least("cap", F.max("level").over(everything) * F.col("weight"))
-    return levels.select("source", "place", "source_size", target.alias("target"))
+    placed = placed.withColumn("weight", F.get(turn, F.pmod("place", F.lit(len(weights)))).cast("long"))
+    placed = placed.withColumn("cap", (F.col("source_size") * most).cast("double"))
+    placed = placed.withColumn("ratio", F.col("cap") / F.col("weight"))
+    order = ["ratio", "place"]
+    ordered = running_total(running_total(placed, order, "cap", "cap_before"), order, "weight", "weight_before")
+    whole = ordered.agg(F.sum("source_size").alias("words"), F.sum("weight").alias("weight")).first()
+    level = (F.lit(float(whole["words"] or 0)) * share - F.col("cap_before")) / (F.lit(whole["weight"] or 0) - F.col("weight_before"))
+    highest = ordered.agg(F.max(level).alias("level")).first()["level"]
+    target = F.least("cap", F.lit(highest or 0.0) * F.col("weight"))
+    return ordered.select("source", "place", "source_size", target.alias("target"))
 
 
 def permuted(index: str, length: str, key: str) -> Column:
@@ -99,6 +102,60 @@ def placed_documents(sizes: DataFrame, digits: int = BUCKET_DIGITS) -> DataFrame
     )
 
 
+def by_range(points: DataFrame, point: str, ranges: DataFrame, low: str, length: str, total: int) -> DataFrame:
+    """`points` with the columns of the range that each falls in; ranges cover 0 .. total - 1 without overlap.
+
+    Points and ranges meet by buckets of equal width, twice as many as ranges at least.
+    """
+    width = max(1, total // max(LEAST_BUCKETS, 2 * ranges.count()))
+    covered = F.sequence(F.expr(f"{low} div {width}"), F.expr(f"({low} + {length} - 1) div {width}"))
+    guide = ranges.where(F.col(length) > 0).withColumn("bucket", F.explode(covered))
+    met = points.withColumn("bucket", F.expr(f"{point} div {width}")).join(guide, "bucket").drop("bucket")
+    return met.where(f"{point} >= {low} AND {point} < {low} + {length}")
+
+
+def seats(plan: DataFrame, total: int, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """(slot, shard, place): every slot with the source it draws, by shares of `n_slots`."""
+    # A number is named, or these few bytes a slot would be made in too few tasks.
+    tasks = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    every = plan.sparkSession.range(0, total, 1, tasks).withColumnRenamed("id", "slot")
+    every = every.withColumn("point", F.expr(f"pmod(xxhash64('draw', slot), {max(1, total)}L)"))
+    drawn = by_range(every, "point", plan.select("place", "first", "n_slots"), "first", "n_slots", total)
+    return drawn.select("slot", F.expr(f"slot div {shard_slots}").alias("shard"), "place")
+
+
+def draws(seat_rows: DataFrame) -> DataFrame:
+    """(shard, place, n): how many slots of each shard drew a source, a multinomial draw by shard."""
+    return seat_rows.groupBy("shard", "place").agg(F.count(F.lit(1)).alias("n"))
+
+
+def numbered(plan: DataFrame, total: int, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """(slot, shard, place, j): each slot with its source and its number 0 .. n_slots - 1 there."""
+    seat_rows = materialise(seats(plan, total, shard_slots), "mix-seats")
+    counts = running_total(draws(seat_rows), ["place", "shard"], "n", "before")
+    got = counts.groupBy("place").agg(F.sum("n").alias("drawn"), F.min("before").alias("begun"))
+    held = plan.select("place", "n_slots").join(got, "place", "left").fillna(0, ["drawn", "begun"])
+    held = held.withColumn("over", F.expr("greatest(drawn - n_slots, 0L)"))
+    held = held.withColumn("lack", F.expr("greatest(n_slots - drawn, 0L)"))
+    held = running_total(running_total(held, "place", "over", "over_first"), "place", "lack", "lack_first")
+    held = materialise(held, "mix-held")
+    spare = held.agg(F.sum("lack").alias("n")).first()["n"] or 0
+    # A shard's slots of one source, at most as many as the shard has, follow those of earlier shards.
+    inside = F.row_number().over(W.partitionBy("shard", "place").orderBy("slot")) - 1
+    rows = seat_rows.withColumn("inside", inside).join(counts.select("shard", "place", "before"), ["shard", "place"])
+    rows = rows.join(held, "place").withColumn("i", F.expr("before - begun + inside"))
+    rows = rows.withColumn("j", permuted("i", "drawn", "concat_ws('/', 'draw', place)"))
+    rows = materialise(rows.select("slot", "shard", "place", "j", "n_slots", "over_first"), "mix-drawn")
+    kept = rows.where("j < n_slots").select("slot", "shard", "place", "j")
+    if not spare:
+        return kept
+    moved = rows.where("j >= n_slots").withColumn("s", F.expr("over_first + j - n_slots"))
+    moved = moved.withColumn("point", permuted("s", f"{spare}L", "'spare'")).select("slot", "shard", "point")
+    lacking = held.select("place", "drawn", "lack", "lack_first")
+    moved = by_range(moved, "point", lacking, "lack_first", "lack", spare)
+    return kept.unionByName(moved.select("slot", "shard", "place", F.expr("drawn + point - lack_first").alias("j")))
+
+
 def slots(targets: DataFrame, block: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """(key, block_index, epoch, slot, shard, used): one row per slot of the output.
 
@@ -126,27 +183,14 @@ def slots(targets: DataFrame, block: int = BLOCK_WORDS, shard_slots: int = SHARD
         ),
     )
     plan = plan.withColumn("n_slots", F.expr("full * blocks + extra")).where("n_slots > 0")
-    upto = W.orderBy("place").rowsBetween(W.unboundedPreceding, -1)
-    plan = plan.withColumn("first", F.coalesce(F.sum("n_slots").over(upto), F.lit(0)))
-    plan = plan.withColumn("total", F.sum("n_slots").over(W.partitionBy()))
-    chunks = plan.withColumn("chunk", F.explode(F.expr(f"sequence(0L, greatest(n_slots - 1, 0L) div {SLOTS_PER_CHUNK})")))
-    # A number is named, or adaptive execution would put these few bytes in one task.
-    tasks = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chunks = chunks.repartition(tasks, "place", "chunk")
-    numbered = chunks.withColumn(
-        "j",
-        F.explode(
-            F.expr(f"sequence(chunk * {SLOTS_PER_CHUNK}, least(n_slots, (chunk + 1) * {SLOTS_PER_CHUNK}) - 1)")
-        ),
-    )
-    epochs = numbered.withColumn("epoch", F.expr("j div blocks")).withColumn("i", F.expr("j % blocks"))
+    plan = materialise(running_total(plan, "place", "n_slots", "first"), "mix-plan")
+    total = plan.agg(F.sum("n_slots").alias("n")).first()["n"] or 0
+    given = numbered(plan, total, shard_slots).join(plan, "place")
+    epochs = given.withColumn("epoch", F.expr("j div blocks")).withColumn("i", F.expr("j % blocks"))
     drawn = epochs.withColumn("block_index", permuted("i", "blocks", "concat_ws('/', 'block', place, epoch)"))
-    drawn = drawn.withColumn("slot", permuted("first + j", "total", "'slot'"))
     begun = f"i * {block} - if(i > short_at, short, 0L)"
     used = F.expr(f"CASE WHEN epoch < full THEN {block}L ELSE least({block}L, rest - ({begun})) END")
-    return drawn.select(
-        "key", "block_index", "epoch", "slot", F.expr(f"slot div {shard_slots}").alias("shard"), used.alias("used")
-    )
+    return drawn.select("key", "block_index", "epoch", "slot", "shard", used.alias("used"))
 
 
 def inverse_place(value: str, length: str, key: str) -> Column:
@@ -156,11 +200,6 @@ def inverse_place(value: str, length: str, key: str) -> Column:
     return F.expr(f"aggregate(sequence({ROUNDS}L, 1L, -1L), {value}, (p, r) -> if({bit}, {mirror}, p))")
 
 
-def draws(slot_rows: DataFrame) -> DataFrame:
-    """(shard, key, n): how many slots of each shard a source was drawn for."""
-    return slot_rows.groupBy("shard", "key").agg(F.count(F.lit(1)).alias("n"))
-
-
 def packed(placed: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
     """A row per document and block it has words in: block_index, its place there, words."""
     blocks = F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")
