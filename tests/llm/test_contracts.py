@@ -7,7 +7,7 @@ import brute
 import numpy as np
 import pytest
 
-from threadlens.llm import langid, substrings
+from threadlens.llm import langid, secrets, substrings, trigrams
 from threadlens.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -54,6 +54,34 @@ def test_language(spark, documents):
     assert total > 100 and right / total > 0.95
 
 
+def test_trigram_index(spark, documents):
+    """Posting lists hold each row with a trigram once, in shards; candidates are those the Boolean queries let through."""
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    queries = [trigrams.query_of(rule.pattern) for rule in secrets.RULES]
+    grams = sorted({g for q in queries for g in trigrams.grams_in(q)})
+    repeated = table.unionByName(table)
+    index = secrets.trigram_index(repeated, grams, shard_rows=90)
+    lists, shards = {}, set()
+    for r in index.collect():
+        assert len(r["keys"]) == len(set(r["keys"]))
+        shards.add(r["shard"])
+        lists.setdefault(r["gram"], []).extend(r["keys"])
+    keys = {r["doc_id"]: r["_key"] for r in secrets.keyed(table).select("doc_id", "_key").collect()}
+    texts = {keys[d["doc_id"]]: (d["text"] or "").lower() for d in documents}
+    assert len(shards) > 1 and lists.keys() <= set(grams)
+    for gram in grams:
+        assert sorted(lists.get(gram, [])) == sorted(k for k, text in texts.items() if gram in text)
+
+    def holds(query, text):
+        if isinstance(query, str):
+            return query in text
+        return (all if query[0] == "and" else any)(holds(part, text) for part in query[1])
+
+    got = {r["_key"]: sorted(r["_ranks"]) for r in secrets.candidates(index, queries).collect()}
+    wanted = {k: [i for i, q in enumerate(queries) if q != trigrams.ANY and holds(q, text)] for k, text in texts.items()}
+    assert got == {k: ranks for k, ranks in wanted.items() if ranks}
+
+
 def test_secrets(spark, documents):
     got = run(spark, "op5_secret_scan")
     for d in documents:

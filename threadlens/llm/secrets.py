@@ -1,10 +1,10 @@
 """Secrets in texts: rules, a trigram index that narrows them, spans, and masking.
 
-The index lists, beside each document, the query trigrams its text contains: the posting
-lists turned to lie with the documents, so they are intersected without a shuffle. A
-rule's expression runs only on documents its Boolean trigram query lets through; a rule
-without mandatory trigrams runs on all. Everything is built-in SQL functions. The longer
-expressions are SQL text, since one parse is far cheaper than building them call by call.
+The index is inverted: a posting list for each trigram the rules ask for, cut into shards by
+the documents' keys. A rule's Boolean trigram query intersects and unites posting lists, and
+its expression runs only on the candidates that are left; a rule without mandatory trigrams
+runs on all. Everything is built-in SQL functions. The longer expressions are SQL text, since
+one parse is far cheaper than building them call by call.
 """
 
 from __future__ import annotations
@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 
 from threadlens.llm.common import pick, sha256_hex
 from threadlens.llm.trigrams import ANY, Query, grams_in, query_of
+from threadlens.sources.shared import materialise
 
 BLOCK = 256
+SHARD_ROWS = 5000  # rows of a shard of the index, and so the longest posting list
 
 
 @dataclass(frozen=True)
@@ -90,16 +92,52 @@ def running(values: str, join: Callable[[str, str], str]) -> str:
     return let("vals", values, f"if(size(vals) = 0, vals, {whole})")
 
 
-def passes(query: Query, postings: str) -> str:
-    """Evaluate a trigram query on the list of trigrams that a text has."""
-    if query == ANY:
-        return "true"
+def candidates_of(query: Query, lists: str) -> str:
+    """Evaluate a trigram query on a shard's posting lists, a map from trigrams to keys."""
     if isinstance(query, str):
-        return f"array_contains({postings}, {quoted(query)})"
+        return f"coalesce(try_element_at({lists}, {quoted(query)}), cast(array() AS array<bigint>))"
     kind, parts = query
-    if all(isinstance(part, str) for part in parts):
-        return f"{'forall' if kind == 'and' else 'exists'}({strings(parts)}, g -> array_contains({postings}, g))"
-    return "(" + f" {kind} ".join(passes(part, postings) for part in parts) + ")"
+    merge = "array_intersect" if kind == "and" else "array_union"
+    out = candidates_of(parts[0], lists)
+    for part in parts[1:]:
+        out = f"{merge}({out}, {candidates_of(part, lists)})"
+    return out
+
+
+def keyed(rows: DataFrame) -> DataFrame:
+    """`rows` with `_key`, a hash of id and text, so that copies under other ids are told apart.
+
+    Rows that share a key share their candidate rules. Were different rows to share one, a
+    rule would run once too often: an expression decides in any case.
+    """
+    return rows.withColumn("_key", F.xxhash64("doc_id", "text"))
+
+
+def trigram_index(documents: DataFrame, grams: list[str], shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """(shard, gram, keys): the posting lists of some trigrams over (doc_id, text), in shards.
+
+    Shards are dealt by key and follow the row count, so a list has about `shard_rows` keys at
+    most; equal rows count once.
+    """
+    shards = max(1, -(-documents.count() // shard_rows))
+    rows = keyed(pick(documents, "doc_id", "text")).where("text IS NOT NULL")
+    # Bound by name, or the optimiser would lower the text once per trigram.
+    held = F.expr(let("lowered", "lower(text)", f"filter({strings(grams)}, g -> contains(lowered, g))"))
+    postings = rows.select("_key", F.explode(held).alias("gram"))
+    shard = F.pmod("_key", F.lit(shards)).alias("shard")
+    return postings.groupBy(shard, "gram").agg(F.collect_set("_key").alias("keys"))
+
+
+def candidates(index: DataFrame, queries: list[Query]) -> DataFrame:
+    """(_key, _ranks): the places of the queries that a row's trigrams pass; rows that pass none are left out."""
+    lists = F.map_from_entries(F.collect_list(F.struct("gram", "keys"))).alias("lists")
+    passed = [
+        f"transform({candidates_of(query, 'lists')}, k -> named_struct('k', k, 'rank', {rank}))"
+        for rank, query in enumerate(queries)
+        if query != ANY
+    ]
+    met = index.groupBy("shard").agg(lists).select(F.explode(F.expr(f"concat({', '.join(passed)})")).alias("c"))
+    return met.groupBy(F.col("c.k").alias("_key")).agg(F.collect_set("c.rank").alias("_ranks"))
 
 
 def rule_spans(text: str, rule: Rule, rank: int) -> str:
@@ -133,14 +171,16 @@ def find_secrets(
     """
     queries = [query_of(rule.pattern) for rule in rules]
     grams = list(dict.fromkeys(g for q in queries for g in grams_in(q)))
-    rows = pick(documents, "doc_id", "text", *keep).withColumn("body", F.expr("coalesce(text, '')"))
-    # Bound by name, or the optimiser would lower the text once per trigram.
-    postings = let("lowered", "lower(body)", f"filter({strings(grams)}, g -> contains(lowered, g))")
-    rows = rows.withColumn("postings", F.expr(postings))
+    rows = keyed(pick(documents, "doc_id", "text", *keep)).withColumn("body", F.expr("coalesce(text, '')"))
+    if grams:
+        # Written, so that a join by broadcast is chosen by a known size only.
+        index = materialise(trigram_index(documents, grams), "secrets-index")
+        rows = rows.join(materialise(candidates(index, queries), "secrets-candidates"), "_key", "left")
     found = rows.withColumns(
         {
             f"s{rank}": F.expr(
-                f"CAST(IF({passes(query, 'postings')}, {rule_spans('body', rule, rank)}, array()) AS {SPANS})"
+                f"CAST(IF({'true' if query == ANY else f'array_contains(_ranks, {rank})'}, "
+                f"{rule_spans('body', rule, rank)}, array()) AS {SPANS})"
             )
             for rank, (rule, query) in enumerate(zip(rules, queries))
         }
