@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadlens.functions.labels import nullify_na
 from threadlens.operators.running import running_total
 from threadlens.schemas import ANALYSIS, csv_headings
+from threadlens.sources.shared import materialise
 
 STAMP = "snapshot_ts"
 RUNS = T.StructType([T.StructField("stamp", T.StringType()), T.StructField("state", T.StringType())])
@@ -86,20 +87,36 @@ def write_csv(
     """Export with the fixed headings, no index.
 
     Quoted line breaks keep a file from being split on reading, so files are cut when written: rows
-    are dealt by a running total of their text bytes to files of about ``file_bytes``.
+    are dealt by a running total of their text bytes to files of about ``file_bytes``. The total is
+    taken over numbers only; texts move once, to the file whose first row is the last not behind theirs.
     """
     names = headings or csv_headings()
     columns = ANALYSIS.fieldNames()
     width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in columns), F.lit(len(columns)))
-    sized = analysed.select(*columns, width.cast("long").alias("_bytes"), F.xxhash64(*columns).alias("_mark"))
-    placed = running_total(sized, ["ticket_id", "_mark"], "_bytes", "_before")
+    # The place tells equal rows apart, so very many copies of one row still come in several files.
+    order = ["ticket_id", "_mark", "_place"]
+    marked = analysed.select(*columns, F.xxhash64(*columns).alias("_mark"), F.monotonically_increasing_id().alias("_place"))
+    sizes = materialise(marked.select(*order, width.cast("long").alias("_bytes")), "csv-sizes")
+    placed = running_total(sizes, order, "_bytes", "_before")
+    firsts = placed.groupBy(F.expr(f"_before div {file_bytes}L")).agg(F.min(F.struct(*order)).alias("first"))
+    # One row: the first row's key of every file.
+    firsts = materialise(firsts.agg(F.sort_array(F.collect_list("first")).alias("_firsts")), "csv-files")
+    dealt = marked.join(F.broadcast(firsts)).withColumn("file", _place_among("_firsts", F.struct(*order))).drop("_firsts")
     # Rows of one file meet in one task; a task may write several files.
-    dealt = placed.withColumn("file", F.expr(f"_before div {file_bytes}L")).repartition("file")
-    files = dealt.sortWithinPartitions("file", "_before")
+    files = dealt.repartition("file").sortWithinPartitions("file", *order)
     out = files.select("file", *[F.col(c).alias(names[c]) for c in columns])
     out.write.partitionBy("file").options(**_CSV).csv(path)
 
 
+def _place_among(firsts: str, key: Column) -> Column:
+    """Index of the last of the sorted ``firsts`` that is not above ``key``, by halving; 0 if all are."""
+    steps = F.array(*[F.lit(1 << bit) for bit in range(30, -1, -1)])
+    count = F.aggregate(
+        steps, F.lit(0), lambda at, step: F.when(F.get(firsts, at + step - 1) <= key, at + step).otherwise(at)
+    )
+    return F.greatest(count - 1, F.lit(0))
+
+
 def read_csv(
     spark: SparkSession,
     path: str,
