@@ -188,3 +188,12 @@ def test_theme_discovery(spark):
     assert all(t != "N/A" for t in seen)
     with pytest.raises(ValueError):
         themes.discover_themes(got, k=4)
+
+
+def test_theme_discovery_keeps_vectors_only(spark, monkeypatch):
+    """The cached table holds the vectors, not the words of the texts, which take several times their room."""
+    frame, kept = type(spark.range(1)), []
+    monkeypatch.setattr(frame, "persist", lambda self, *a, own=frame.persist: kept.append(self.columns) or own(self, *a))
+    rows = [(i, f"card payment w{i % 7}") for i in range(40)]
+    got = themes.discover_themes(spark.createDataFrame(rows, "ticket_id BIGINT, summary STRING"), k=5)
+    assert got.count() == 40 and kept and all("words" not in columns for columns in kept)
