@@ -85,6 +85,43 @@ def test_questions_meet_few_blocks_and_articles(spark):
     assert all(best[q] == q * 7 for q in range(120))
 
 
+@pytest.mark.parametrize("words", [500_000, 100])
+def test_unselective_questions_are_scored_in_the_tasks(spark, knowledge, monkeypatch, words):
+    """Questions that meet many articles give the same rows, and write no pairs of questions and articles."""
+    for name, value in (("MOST_MET", 0), ("TERMS_AT_ONCE", words), ("QUESTIONS_AT_ONCE", 7), ("ARTICLES_AT_ONCE", 16)):
+        monkeypatch.setattr(retrieval, name, value)
+    written, own = collections.Counter(), retrieval.materialise
+
+    def counted(df, name):
+        out = own(df, name)
+        if {"question", "doc_id"} <= set(out.columns):
+            written[name] += out.count()
+            assert name != "best-of-tasks" or out.groupBy("question").count().agg(F.max("count")).first()[0] <= spark.sparkContext.defaultParallelism
+        return out
+
+    monkeypatch.setattr(retrieval, "materialise", counted)
+    asked = spark.createDataFrame(QUESTIONS, "ticket_id BIGINT, customer_issue STRING")
+    got = {r["ticket_id"]: (r["doc_id"], r["score"]) for r in retrieval.best_articles(asked, retrieval.build_index(knowledge)).collect()}
+    expected = brute_best()
+    assert got.keys() == expected.keys()
+    assert all(got[q][0] == expected[q][0] and abs(got[q][1] - expected[q][1]) < 1e-6 for q in got)
+    assert written["best-of-tasks"] and sum(written.values()) == written["best-of-tasks"]
+
+
+def test_in_tasks_ties_ids_and_copies(spark, monkeypatch):
+    """Equal scores go to the lowest id, also below zero; rows that come twice are one article, as by the bounds."""
+    rows = [(5, "red fox"), (-3, "red fox"), (9, "red fox"), (4, "blue"), (4, "blue"), (3, "blue green sea"), (7, "blue"), (8, "")]
+    articles = spark.createDataFrame(rows, "doc_id INT, text STRING")
+    asked = spark.createDataFrame([(1, "fox red"), (2, "blue"), (3, "sea green"), (4, "none")], "ticket_id BIGINT, customer_issue STRING")
+    found = {}
+    for most in (0, 10**9):
+        monkeypatch.setattr(retrieval, "MOST_MET", most)
+        best = retrieval.best_articles(asked, retrieval.build_index(articles))
+        found[most] = (best.dtypes, sorted(map(tuple, best.collect())))
+    assert found[0] == found[10**9]
+    assert [r[:2] for r in found[0][1]] == [(1, -3), (2, 4), (3, 3)]
+
+
 def test_empty_knowledge(spark, knowledge):
     asked = spark.createDataFrame(QUESTIONS, "ticket_id BIGINT, customer_issue STRING")
     none = knowledge.where("doc_id < 0")
