@@ -201,6 +201,32 @@ def test_entities(spark, inline):
     ]
 
 
+def test_only_tokens_that_begin_a_term_are_looked_up(spark, monkeypatch):
+    met = []
+    monkeypatch.setattr(entities, "lookup", lambda rows, dim, on: met.append(rows) or lookup(rows, dim, on))
+    df = spark.createDataFrame([(1, "word " * 500 + "Ann Lee"), (2, "nobody " * 500)], "doc_id BIGINT, text STRING")
+    gazetteer = spark.createDataFrame(GAZETTEER, "term STRING, label STRING")
+    got = entities.redact_entities(df, gazetteer, "text", ["doc_id"], inline_terms=0)
+    assert [r["text"][-17:] for r in got.orderBy("doc_id").collect()] == ["[REDACTED PERSON]", "dy nobody nobody "]
+    assert sorted(r["opening"] for r in met[0].collect()) == ["ann", "ann lee"]
+
+
+def test_entities_in_odd_texts_are_the_same_by_join(spark):
+    texts = [
+        "", " ", "...", "Ann", "[REDACTED EMAIL]Ann[REDACTED ORG] Lee", "Ann [REDACTED PHONE] Lee", "[ann] [REDACTED X] ANN\n\nlee",
+        "İnn inn ΟΔΟΣ. οδος Οδοσ", "ann lee of", "ann\U0001F600lee x\U00010400y", "acme of acme of ACME", "one two three one two three four",
+    ]
+    terms = [*GAZETTEER, ("inn", "ORG"), ("İnn", "PERSON"), ("οδοσ", "ORG"), ("ΟΔΟΣ", "PERSON"), ("one two three four", "ORG")]
+    rows = [*enumerate(texts), (3, "of Acme met Ann"), (7, "Ann")]
+    df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    gazetteer = spark.createDataFrame(terms, "term STRING, label STRING")
+    plain, joined = (
+        sorted(tuple(r) for r in entities.redact_entities(df, gazetteer, "text", ["doc_id"], inline_terms=n).collect()) for n in (100, 0)
+    )
+    assert joined == plain and (3, "[REDACTED ORG] met [REDACTED PERSON]") in joined
+    assert (11, "one two three [REDACTED ORG]") in joined
+
+
 def test_a_name_inside_an_address(spark):
     df = spark.createDataFrame([(1, 0, "Ann wrote from ann@acme.org")], "ticket_id BIGINT, pos BIGINT, plain_body STRING")
     gazetteer = spark.createDataFrame(GAZETTEER, "term STRING, label STRING")
