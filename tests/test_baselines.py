@@ -165,6 +165,34 @@ def test_words_are_counted_inside_the_row(spark):
     assert "Exchange" not in word_counts(df, "text", ["id"], "w")._jdf.queryExecution().toString()
 
 
+def test_words_are_cut_and_sorted_once(spark):
+    df = spark.createDataFrame([(1, "b a b"), (2, "")], "id INT, text STRING")
+    found = word_counts(df, "text", ["id"], "w", "length")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 3, "a", 1), (1, 3, "b", 2)]
+
+
+def test_index_counts_words_where_the_text_lies(spark, monkeypatch):
+    written, write = [], retrieval.materialise
+    monkeypatch.setattr(retrieval, "materialise", lambda df, name: written.append((name, df)) or write(df, name))
+    rows = [(1, "a b a"), (2, "x"), (None, "p q"), (3, None), (4, "")]
+    index = retrieval.build_index(spark.createDataFrame(rows, "doc_id BIGINT, text STRING"))
+    assert [name for name, _ in written].count("term-counts") == 1
+    assert "Exchange" not in dict(written)["term-counts"]._jdf.queryExecution().toString()
+    got = {tuple(r) for r in index.counts.select("doc_id", "dl", "term", "tf").collect()}
+    assert got == {(1, 3, "a", 2), (1, 3, "b", 1), (2, 1, "x", 1), (None, 2, "p", 1), (None, 2, "q", 1)}
+    assert (index.documents, index.length, index.entries) == (5, 6, 5)
+
+
+def test_index_of_repeated_ids(spark):
+    rows = [(1, "a b a"), (1, "b c c"), (1, "a"), (2, "x"), (None, "p q"), (None, "p p"), (3, None), (3, "")]
+    index = retrieval.build_index(spark.createDataFrame(rows, "doc_id BIGINT, text STRING"))
+    got = sorted((tuple(r) for r in index.counts.select("doc_id", "dl", "term", "tf").collect()), key=str)
+    want = [(1, 3, "a", 2), (1, 3, "b", 2), (1, 3, "c", 2), (1, 1, "a", 1), (2, 1, "x", 1), (None, 2, "p", 3), (None, 2, "q", 1)]
+    assert got == sorted(want, key=str)
+    assert (index.documents, index.length, index.entries) == (8, 12, 7)
+
+
 def test_sentiment_labels(spark):
     lexicon = spark.createDataFrame([("good", 1), ("bad", -1)], "word STRING, score INT")
     rows = [(1, "good good GOOD"), (2, "good"), (3, "good bad"), (4, "bad, bad"), (5, "bad bad bad"), (6, "plain"), (7, None), (8, "")]
