@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from threadlens.operators.baselines import entities, retrieval, sentiment, summary, themes
 from threadlens.functions.text import word_counts
+from threadlens.operators import joins
 from threadlens.operators.joins import fits, heavy_keys, lookup
+from threadlens.sources.shared import materialise
 
 RNG = random.Random(3)
 WORDS = ["the"] * 12 + [f"w{i}" for i in range(60)]
@@ -85,6 +87,44 @@ def test_questions_meet_few_blocks_and_articles(spark):
     assert all(best[q] == q * 7 for q in range(120))
 
 
+@pytest.mark.parametrize("most", [0, 1_000])
+def test_the_search_broadcasts_only_counted_tables(spark, knowledge, monkeypatch, most):
+    """A plan may take a table with very many rows for a small one, so every join says how it is done."""
+    monkeypatch.setattr(retrieval, "MOST_MET", most)
+    plans, own = [], retrieval.materialise
+    plan_of = lambda df: str(df._jdf.queryExecution().optimizedPlan())
+
+    def seen(df, name):
+        plans.append(plan_of(df))
+        return own(df, name)
+
+    monkeypatch.setattr(retrieval, "materialise", seen)
+    asked = spark.createDataFrame(QUESTIONS, "ticket_id BIGINT, customer_issue STRING")
+    plans.append(plan_of(retrieval.answer_from_articles(asked, knowledge, retrieval.build_index(knowledge))))
+    lines = [line for plan in plans for line in plan.splitlines() if "Join " in line]
+    assert len(lines) > 10 and all("strategy=merge" in line or "strategy=broadcast" in line for line in lines), lines
+
+
+def test_few_rows_are_broadcast_and_many_merged(spark):
+    rows, dim = spark.range(10).toDF("k"), materialise(spark.range(5).selectExpr("id AS k", "'x' AS v"), "dim")
+    for most, join in ((5, "BroadcastHashJoin"), (4, "SortMergeJoin")):
+        joined = rows.join(joins.if_few(dim, most), "k")
+        assert sorted(r["k"] for r in joined.collect()) == [0, 1, 2, 3, 4]
+        assert join in str(joined._jdf.queryExecution().executedPlan())
+
+
+@pytest.mark.parametrize("share", [1e-9, 4, 1e9])
+def test_common_words_score_as_others(spark, knowledge, monkeypatch, share):
+    """However many words go by the product of matrices, the best articles are the same."""
+    monkeypatch.setattr(retrieval, "MOST_MET", 0)
+    monkeypatch.setattr(retrieval, "COMMON_SHARE", share)
+    asked, index = spark.createDataFrame(QUESTIONS, "ticket_id BIGINT, customer_issue STRING"), retrieval.build_index(knowledge)
+    got = {r["ticket_id"]: (r["doc_id"], r["score"]) for r in retrieval.best_articles(asked, index).collect()}
+    expected = brute_best()
+    assert got.keys() == expected.keys()
+    assert all(got[q][0] == expected[q][0] and abs(got[q][1] - expected[q][1]) < 1e-6 for q in got)
+
+
 @pytest.mark.parametrize("words", [500_000, 100])
 def test_unselective_questions_are_scored_in_the_tasks(spark, knowledge, monkeypatch, words):
     """Questions that meet many articles give the same rows, and write no pairs of questions and articles."""
