@@ -3,6 +3,7 @@
 import collections
 import contextlib
 import io
+import itertools
 import math
 import random
 import re
@@ -10,6 +11,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from checks import QUERIES
 from threadlens.operators.baselines import entities, retrieval, sentiment, summary, themes
 from threadlens.functions.text import word_counts
 from threadlens.operators import joins
@@ -328,3 +330,19 @@ def test_theme_discovery_keeps_vectors_only(spark, monkeypatch):
     rows = [(i, f"card payment w{i % 7}") for i in range(40)]
     got = themes.discover_themes(spark.createDataFrame(rows, "ticket_id BIGINT, summary STRING"), k=5)
     assert got.count() == 40 and kept and all("words" not in columns for columns in kept)
+
+
+def test_discovery_invariants_move_no_text(spark, tmp_path):
+    """Texts are cut into words where they lie: no join comes before that."""
+    rows = [(i, f"alpha beta gamma {'red' if i % 2 else 'blue'} word{i % 7}") for i in range(60)]
+    spark.createDataFrame(rows, "doc_id BIGINT, text STRING").write.parquet(str(tmp_path / "documents.parquet"))
+    found = QUERIES["b2_discovery_invariants"](spark, str(tmp_path))
+    lines = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    cuts = [i for i, line in enumerate(lines) if "split(lower(" in line]
+    assert cuts
+    for i in cuts:
+        below = itertools.takewhile(lambda line: depth(line) > depth(lines[i]), lines[i + 1 :])
+        assert not any("Join" in line for line in below)
+    got = [tuple(r) for r in found.collect()]
+    assert sorted(got) == [(i, 1, True, True) for i in range(60)]
